@@ -35,8 +35,12 @@ _TAG = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};")
 # a line that starts a list item or follows an empty line starts a sentence
 _BREAK = re.compile(r"\n\s*(?=[-*•—–\d]+[\s.)])|\n\s*\n")
 _DASH = re.compile(r"(?<=[.!?…])\s+[—–-]\s+")
-# an end mark after a word of three letters or more (not an abbreviation), before blanks
-_END = re.compile(r"(?<=[^\W\d_][^\W\d_][^\W\d_])[.!?…]+[\"'”“»’)\]]*\s+|[!?…]+[\"'”“»’)\]]*\s+|(?<=\d)[.]\s+(?=[^\W\d_a-zа-яà-ÿ])|(?<=[)\]])[.!?]+\s+")
+# a full stop ends a sentence after a word of three letters, a number or a
+# bracket if a capital follows that doesn't begin another abbreviation; other
+# end marks always do
+_CLOSE = "[\"'”“»’)\\]]*"
+_OPEN = "[\"'„“«‘(¿¡\\[]*"
+_END = re.compile(rf"(?<=[\w)\]]{{3}})[.]+{_CLOSE}\s+(?={_OPEN}[A-ZÀ-ÖØ-ÞА-ЯЁ])(?!{_OPEN}\w{{1,3}}\.)|[!?…]+{_CLOSE}\s+|[.]+[\"'”“»’)\]]+\s+(?=[\"'„“«‘(¿¡])")
 _CLAUSE = re.compile(r"[,;:]")
 
 NAMES = ("words_a_sentence", "longest_sentence", "clauses_a_sentence", "letters_a_word", "long_words", "very_long_words", "longest_words", "long_words_a_sentence", "variety")
@@ -221,7 +225,12 @@ def fit_levels(feats: DataFrame, labels: DataFrame, ident: str, max_graded: int
     for level in range(1, len(LEVELS)):
         starts, values = isotonic(s, g >= level - 0.25)
         likely = starts[values >= 0.5] if len(starts) else starts
-        model.bounds.append(float(likely[0]) if len(likely) else math.inf)
+        if not len(likely):
+            model.bounds.append(math.inf)
+            continue
+        # halfway to the next easier graded document
+        below = s[s < likely[0]]
+        model.bounds.append(float(likely[0] + below.max()) / 2 if len(below) else -math.inf)
     return model
 
 
