@@ -475,3 +475,118 @@ def _(o): return o.with_columns(col("o_orderkey").alias("y")).map_values("y", la
 def _(o): return o.select("o_orderkey").map_batches(lambda batches: batches, "o_orderkey long")
 @query("pipe", "SELECT count(*) AS n FROM orders", "orders")
 def _(o): return o.pipe(lambda f: f.select(col("o_orderkey").count().alias("n")))
+
+
+# --- SQL dialect, scripts, files and streams
+
+
+def sql_query(name: str, text: str, sql: str | None, *tables: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from quillon.sql import Session
+
+        session = Session(spark)
+        for t in tables:
+            session.register(t, frame(spark, sf, t))
+        return session.query(text).to_df()
+
+    QUERIES[name], SQL[name] = run, sql or text
+
+
+sql_query("sql_filter", "SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O' OR o_orderkey < 5", None, "orders")
+sql_query("sql_group", "SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) FROM orders GROUP BY o_orderstatus", 'SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS "max(o_totalprice)" FROM orders GROUP BY 1', "orders")
+sql_query("sql_global", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_orderkey > -5", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders", "orders")
+sql_query("sql_order_limit", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey ASC LIMIT 12", None, "orders")
+sql_query("sql_distinct", "SELECT DISTINCT o_orderstatus FROM orders", None, "orders")
+sql_query("sql_limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", None, "orders")
+sql_query("sql_beyond", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 2) SELECT c_name, n FROM c JOIN customer ON c_custkey = o_custkey WHERE c_name LIKE '%1%'", None, "orders", "customer")
+
+
+def script_query(name: str, text: str, sql: str | None) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from quillon.script import Interpreter
+
+        return Interpreter(spark).run(text.replace("$sf", sf)).to_df()
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+script_query("script_group", """
+load $sf/orders.parquet            # comments go
+.filter o_totalprice > 1000 and o_orderstatus != "P"
+groupby o_orderstatus o_totalprice:max:hi \\
+  o_orderkey:count:n
+sort hi desc
+""", "SELECT o_orderstatus, max(o_totalprice) AS hi, count(*) AS n FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'P' GROUP BY 1")
+script_query("script_with", """
+load $sf/part.parquet
+with up = p_name.str.upper()
+with dear = (p_retailprice * 2 - 1) / 3.0 > 500 or not p_size <= 10
+with b = coalesce(p_size, 0)
+select p_partkey,up,dear,b
+""", "SELECT p_partkey, upper(p_name) AS up, (p_retailprice * 2 - 1) / 3.0 > 500 OR NOT p_size <= 10 AS dear, p_size::DOUBLE AS b FROM part")
+script_query("script_branches", """
+load $sf/nation.parquet
+filter n_regionkey >= 2
+stash base
+sort n_name desc
+limit 3
+select n_nationkey
+stash last
+use base
+join last on n_nationkey inner
+select n_nationkey, n_name
+""", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey >= 2 ORDER BY n_name DESC, n_nationkey LIMIT 3")
+
+
+def file_query(kind: str, columns: list[str], sql: str) -> None:
+    """Write orders in a format and read them back."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from quillon.runtime import ensure_checkpoint_dir
+        from quillon.sources import files
+
+        folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+        path = f"{folder}/roundtrip-{spark.sparkContext.applicationId}.{kind}"
+        f = frame(spark, sf, "orders").select(*columns)
+        if kind in ("arrow", "json"):
+            import os
+
+            os.makedirs(folder, exist_ok=True)
+        files.save(f, path)
+        return files.scan(spark, path).select(*columns).to_df()
+
+    QUERIES[f"files_{kind}"], SQL[f"files_{kind}"] = run, sql
+
+
+for _kind in ("csv", "parquet", "json", "ndjson", "arrow"):
+    file_query(_kind, ["o_orderkey", "o_orderstatus", "o_totalprice"], "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    from quillon.streaming.batches import file_stream
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return file_stream(spark, sf, schema, pattern="events.parquet")
+
+
+def stream_filter(spark: SparkSession, sf: str) -> DataFrame:
+    from quillon.streaming.batches import Pipeline, filter_stage, with_columns_stage
+
+    p = Pipeline(_stream(spark, sf), filter_stage(col("value") > 50.0), with_columns_stage((col("value") * 2.0).alias("twice")))
+    return p.collect("stream_filter").select("event_id", "twice")
+
+
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from quillon.streaming.batches import Pipeline, window_stage
+
+    p = Pipeline(_stream(spark, sf), window_stage("ts", "1 day", ["event_type"], {"n": F.count(F.lit(1)), "hi": F.max("value")}))
+    return p.collect("stream_windows", "complete")
+
+
+QUERIES |= {"stream_filter": stream_filter, "stream_windows": stream_windows}
+SQL |= {
+    "stream_filter": "SELECT event_id, value * 2 AS twice FROM events WHERE value > 50",
+    "stream_windows": "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1, 2",
+}
