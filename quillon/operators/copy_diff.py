@@ -27,19 +27,25 @@ MAX_BITMAP_BYTES = 32 << 20
 _LANE = 0xFFFFFFFF
 
 
-def _bucket(df: DataFrame, other: DataFrame, key: str, bucket_bits: int) -> Column:
+def plain(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Only the columns that count, as ``k, v0, v1, ...``: no name can clash."""
+    c = [F.col(quoted(f)).alias(f"v{i}") for i, f in enumerate(fields)]
+    return df.select(F.col(quoted(key)).alias("k"), *c).filter(F.col("k").isNotNull())
+
+
+def key_bucket(left: DataFrame, right: DataFrame, bucket_bits: int) -> Column:
     """Neighbouring integer keys share a bucket (rows lie roughly in key order,
     so map-side combine works); other keys are spread by hash over as many
     buckets as that would give."""
-    if isinstance(df.schema[key].dataType, T.IntegralType) and isinstance(other.schema[key].dataType, T.IntegralType):
-        return F.shiftright(F.col(quoted(key)).cast("long"), bucket_bits)
-    buckets = max(1, df.count() >> bucket_bits)
-    return F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(buckets))
+    if all(isinstance(d.schema["k"].dataType, T.IntegralType) for d in (left, right)):
+        return F.shiftright(F.col("k").cast("long"), bucket_bits)
+    buckets = max(1, left.count() >> bucket_bits)
+    return F.pmod(F.xxhash64("k"), F.lit(buckets))
 
 
 def _canonical(name: str, kind: T.DataType, tolerance: float | None) -> Column:
     """Value to hash: equal canonical values are equal within the tolerance."""
-    c = F.col(quoted(name))
+    c = F.col(name)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         d = c.cast("double")
         if tolerance:
@@ -57,23 +63,24 @@ def _differs(a: Column, b: Column, kind: T.DataType, tolerance: float | None) ->
     return ~a.eqNullSafe(b)
 
 
-def unequal_buckets(left: DataFrame, right: DataFrame, key: str, fields: list[str], tolerance: dict[str, float], bucket: Column) -> DataFrame:
-    """Rows ``(bucket, f_key, f_0, f_1, ...)``: unequal buckets and their unequal columns."""
+def unequal_buckets(left: DataFrame, right: DataFrame, tolerance: list[float | None], bucket: Column) -> DataFrame:
+    """Rows ``(bucket, f_key, f_0, f_1, ...)``: unequal buckets and their unequal columns.
+
+    ``left`` and ``right`` as ``plain`` gives them.
+    """
 
     def signed(df: DataFrame, sign: int) -> DataFrame:
-        hashes = [F.xxhash64(F.lit(17), F.col(quoted(key)))] + [
-            F.xxhash64(F.lit(i), F.col(quoted(key)), _canonical(f, df.schema[f].dataType, tolerance.get(f))) for i, f in enumerate(fields)
-        ]
-        d = df.filter(F.col(quoted(key)).isNotNull()).select(bucket.alias("bucket"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+        hashes = [F.xxhash64(F.lit(17), F.col("k"))] + [F.xxhash64(F.lit(i), F.col("k"), _canonical(f"v{i}", df.schema[f"v{i}"].dataType, t)) for i, t in enumerate(tolerance)]
+        d = df.select(bucket.alias("bucket"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
         # two 32-bit lanes a hash: their sums can't overflow a bigint
         lanes = [x for i in range(len(hashes)) for x in (F.col(f"h{i}").bitwiseAND(F.lit(_LANE)) * sign, F.shiftrightunsigned(F.col(f"h{i}"), 32) * sign)]
         return d.select("bucket", *[x.alias(f"l{i}") for i, x in enumerate(lanes)])
 
-    n = len(fields) + 1
+    n = len(tolerance) + 1
     sums = signed(left, 1).unionAll(signed(right, -1)).groupBy("bucket").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(2 * n)])
     flags = [((F.col(f"l{2 * i}") != 0) | (F.col(f"l{2 * i + 1}") != 0)) for i in range(n)]
     return sums.select("bucket", *[f.alias(f"f_{'key' if i == 0 else i - 1}") for i, f in enumerate(flags)]).filter(
-        reduce(or_, [F.col("f_key"), *[F.col(f"f_{i}") for i in range(len(fields))]])
+        reduce(or_, [F.col("f_key"), *[F.col(f"f_{i}") for i in range(len(tolerance))]])
     )
 
 
@@ -101,17 +108,17 @@ def diff_copies(
     bucket; smaller buckets cost a larger matrix, larger ones more rows read
     again per difference.
     """
-    tolerance = tolerance or {}
     for f in fields:
         if left.schema[f].dataType != right.schema[f].dataType:
             raise ValueError(f"{f} has different types in the two copies")
-    left, right = (d.select(*[F.col(quoted(c)) for c in (key, *fields)]) for d in (left, right))
-    bucket = _bucket(left, right, key, bucket_bits)
+    near = [(tolerance or {}).get(f) for f in fields]
+    left, right = plain(left, key, fields), plain(right, key, fields)
+    bucket = key_bucket(left, right, bucket_bits)
 
     bit = F.expr("shiftleft(1L, cast(bucket & 63 as int))")
     marks = ["f_key", *[f"f_{i}" for i in range(len(fields))]]
     words = durable(
-        unequal_buckets(left, right, key, fields, tolerance, bucket)
+        unequal_buckets(left, right, near, bucket)
         .groupBy(F.shiftright("bucket", 6).alias("__word"))
         .agg(*[F.bit_or(F.when(F.col(m), bit).otherwise(F.lit(0).cast("long"))).alias(f"__{m}") for m in marks])
     )
@@ -119,12 +126,12 @@ def diff_copies(
         words = F.broadcast(words)
 
     def suspects(df: DataFrame, side: int) -> DataFrame:
-        d = df.filter(F.col(quoted(key)).isNotNull()).select("*", bucket.alias("__b")).withColumn("__word", F.shiftright("__b", 6)).join(words, "__word")
+        d = df.select("*", bucket.alias("__b")).withColumn("__word", F.shiftright("__b", 6)).join(words, "__word")
         on = {m: F.expr(f"shiftright(__{m}, cast(__b & 63 as int)) & 1") == 1 for m in marks}
         return d.filter(reduce(or_, on.values())).select(
-            F.col(quoted(key)).alias("__key"),
+            F.col("k").alias("__key"),
             F.lit(side).alias("__side"),
-            *[F.when(on["f_key"] | on[f"f_{i}"], F.col(quoted(f))).alias(f"__v{i}") for i, f in enumerate(fields)],
+            *[F.when(on["f_key"] | on[f"f_{i}"], F.col(f"v{i}")).alias(f"__v{i}") for i in range(len(fields))],
         )
 
     both = suspects(left, 0).unionAll(suspects(right, 1))
@@ -143,7 +150,7 @@ def diff_copies(
     in_both = F.col("__in0") & F.col("__in1")
     for i, f in enumerate(fields):
         a, b = F.col(f"__v{i}_0"), F.col(f"__v{i}_1")
-        cells.append(F.when(in_both & _differs(a, b, left.schema[f].dataType, tolerance.get(f)), entry(f, text(a), text(b))))
+        cells.append(F.when(in_both & _differs(a, b, left.schema[f"v{i}"].dataType, near[i]), entry(f, text(a), text(b))))
     return (
         g.select("__key", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("__d"))
         .select(F.col("__key").alias(key), "__d.what", "__d.left_value", "__d.right_value")

@@ -92,7 +92,8 @@ def advance_state(state: DataFrame, day: str, arrivals: DataFrame, periods: tupl
     """State rows of ``day``: every entity known yesterday or arriving today.
 
     ``state`` must be current and hold the days back to ``day`` minus the
-    longest period; ``arrivals`` has ``(entity, qty, n)`` of the day.  Unlike in
+    longest period, written to storage (each step reads it several times);
+    ``arrivals`` has ``(entity, qty, n)`` of the day.  Unlike in
     ``build_state`` an entity goes on after its last active day, for whether it
     will be active again isn't known yet.
     """
