@@ -60,18 +60,27 @@ def flight(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator) -> np
     return np.array(val)
 
 
-def land(sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Decide the last undecided documents: of all ways, the one that misses
-    the balanced token sum least (relative to the sizes), then the document count."""
+def land(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the at most two documents that the flight leaves, each with its own probability.
+
+    Of all joint distributions with these probabilities the one that misses
+    the balanced token sum least on average is drawn from (a linear program
+    with one free number, so an end of its range is best).
+    """
     p = probs.astype(float).copy()
     open_ = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
-    want, number = sum(p[i] * sizes[i] for i in open_), sum(p[i] for i in open_)
-    best = min(
-        ([(m >> j) & 1 for j in range(len(open_))] for m in range(1 << len(open_))),
-        key=lambda x: (abs(sum(s * sizes[i] for s, i in zip(x, open_, strict=True)) - want), abs(sum(x) - number)),
-    )
-    for s, i in zip(best, open_, strict=True):
-        p[i] = s
+    if len(open_) == 1:
+        p[open_[0]] = float(rng.random() < p[open_[0]])
+    elif open_:
+        a, b = open_
+        want = p[a] * sizes[a] + p[b] * sizes[b]
+        miss = lambda x, y: abs(x * sizes[a] + y * sizes[b] - want)
+        apart = miss(1, 1) + miss(0, 0) > miss(1, 0) + miss(0, 1)
+        both = max(0.0, p[a] + p[b] - 1) if apart else min(p[a], p[b])
+        u = rng.random()
+        first = u < p[a]
+        second = u < both if first else u < p[a] + p[b] - both
+        p[a], p[b] = float(first), float(second)
     return np.round(p)
 
 
@@ -111,8 +120,9 @@ def mix(sized: DataFrame, shares: DataFrame, seed: int = 42, shard: int = SHARD)
             pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
             mark = f"{pdf['source'].iloc[0]}:{int(pdf['shard'].iloc[0])}:{last}"
             sizes = pdf["tokens"].to_numpy(dtype=float)
-            prob = flight(sizes, pdf["prob"].to_numpy(dtype=float), np.random.default_rng([seed, zlib.crc32(mark.encode())]))
-            pdf["prob"] = land(sizes, prob) if last else prob
+            rng = np.random.default_rng([seed, zlib.crc32(mark.encode())])
+            prob = flight(sizes, pdf["prob"].to_numpy(dtype=float), rng)
+            pdf["prob"] = land(sizes, prob, rng) if last else prob
             return pdf
 
         return run

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType
 
 from quillon.runtime import HOT_PIECES, HOT_SHARE, hot_values, piece_of
 
@@ -25,14 +26,14 @@ from quillon.runtime import HOT_PIECES, HOT_SHARE, hot_values, piece_of
 DIGITS = (24, 20, 20)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def ordered_bits(values: pd.Series) -> pd.Series:
     """Order-preserving integer of a double; -0.0 and 0.0 are one value."""
     bits = (values.to_numpy(dtype="float64", na_value=np.nan) + 0.0).view("int64")
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def from_ordered_bits(values: pd.Series) -> pd.Series:
     bits = values.to_numpy(dtype="int64")
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view("float64"))
