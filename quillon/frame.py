@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon import order, reshape, selectors, stats
-from quillon.expr import AGGREGATES, ORDERED, RESHAPING, Expr, col, contains, output_name
+from quillon.expr import AGGREGATES, ORDERED, RESHAPING, Expr, col, columns, contains, output_name
 from quillon.functions import aggregates, rowwise
 from quillon.plans.resolver import ROW, Order, Resolver, sort_columns
 from quillon.runtime import durable, quoted
@@ -159,13 +159,20 @@ class Frame:
             return self._reshaped(es)
         if es and all(contains(e, AGGREGATES) and not _bare(e) for e in es):
             return self._aggregated(es)
-        r = Resolver(self)
+        r = Resolver(self._only(es))
+        r.prepare(es)
         named = [(output_name(e), r.column(e)) for e in es]
         if len({n for n, _ in named}) < len(named):
             raise ValueError("two outputs have the same name")
         hidden = [n for n, _, _ in r.order or ()] + ([order.INDEX] if r.dense and order.INDEX not in [n for n, _, _ in r.order or ()] else [])
         return Frame(r.df.select(*[c.alias(n) for n, c in named], *hidden), r.order, r.dense)
 
+    def _only(self, es: list[Expr]) -> Frame:
+        """The frame with the columns that expressions need, so no more is sorted or written."""
+        need = {c for e in es for c in columns(e)}
+        gone = [c for c in self.columns if c not in need]
+        return self._with(self.df.drop(*gone)) if self.order is not None and gone and len(gone) < len(self.columns) else self
+
     def _aggregated(self, es: list[Expr]) -> Frame:
         """One row of aggregates."""
         r = Resolver(self)

@@ -9,6 +9,7 @@ cumulative ones add a carry made from the blocks' own totals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +39,11 @@ def dense_index(df: DataFrame, order: list[Column], name: str = INDEX) -> DataFr
     return rows.withColumn("__p", part).join(table, "__p").withColumn(name, at).drop("__m", "__p", "__start")
 
 
-def neighbours(df: DataFrame, back: int, ahead: int, build: Callable[[object], Column], out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``out = build(window)`` where the window's frame reaches at most
-    ``back`` rows back and ``ahead`` rows ahead; ``df`` has a dense index."""
-    size = max(block_rows, 2 * (back + ahead))
+def neighbours(df: DataFrame, back: int, ahead: int, outs: dict[str, Callable[[object], Column]], block_rows: int | None = None) -> DataFrame:
+    """Add columns ``name: build(window)`` whose windows reach at most ``back``
+    rows back and ``ahead`` rows ahead; ``df`` has a dense index.  One shuffle
+    serves all of them."""
+    size = max(block_rows or BLOCK_ROWS, 2 * (back + ahead))
     block, at = F.floor(F.col(INDEX) / size), F.col(INDEX) % size
     places = [F.struct(block.alias("b"), F.lit(False).alias("halo"))]
     if back:
@@ -50,22 +52,31 @@ def neighbours(df: DataFrame, back: int, ahead: int, build: Callable[[object], C
         places.append(F.when(at < ahead, F.struct((block - 1).alias("b"), F.lit(True).alias("halo"))))
     spread = df.withColumn("__at", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())))
     w = Window.partitionBy("__at.b").orderBy(INDEX)
-    return spread.withColumn(out, build(w)).filter(~F.col("__at.halo")).drop("__at")
+    return spread.withColumns({name: build(w) for name, build in outs.items()}).filter(~F.col("__at.halo")).drop("__at")
 
 
-def carried(df: DataFrame, total: Column, carry: Callable[[Column, object], Column], local: Callable[[object], Column], join: Callable[[Column, Column], Column], out: str, backward: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``out = join(carry of the blocks before, local value in the block)``.
+@dataclass(frozen=True)
+class Running:
+    """A cumulative function: ``total`` aggregates a block, ``carry(total,
+    window)`` runs over the blocks before one, ``local(window)`` over the rows
+    of a block up to the current, ``join(carry, local)`` is the value."""
 
-    ``total`` aggregates a block, ``carry(total, window)`` runs over the blocks
-    before one, ``local(window)`` over the rows of a block up to the current.
-    """
-    size = block_rows
-    rows = df.withColumn("__b", F.floor(F.col(INDEX) / size))
-    step = (lambda c: F.desc(c)) if backward else (lambda c: F.asc(c))
-    blocks = rows.groupBy("__b").agg(total.alias("__total"))
-    before = blocks.select("__b", carry(F.col("__total"), Window.orderBy(step("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    total: Column
+    carry: Callable[[Column, object], Column]
+    local: Callable[[object], Column]
+    join: Callable[[Column, Column], Column]
+
+
+def carried(df: DataFrame, outs: dict[str, Running], backward: bool = False, block_rows: int | None = None) -> DataFrame:
+    """Add cumulative columns; one aggregation of blocks and one shuffle serve all of them."""
+    rows = df.withColumn("__b", F.floor(F.col(INDEX) / (block_rows or BLOCK_ROWS)))
+    step = F.desc if backward else F.asc
+    blocks = rows.groupBy("__b").agg(*[r.total.alias(f"__total_{n}") for n, r in outs.items()])
+    past = Window.orderBy(step("__b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    before = blocks.select("__b", *[r.carry(F.col(f"__total_{n}"), past).alias(f"__carry_{n}") for n, r in outs.items()])
     w = Window.partitionBy("__b").orderBy(step(INDEX)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, "__b").withColumn(out, join(F.col("__carry"), local(w))).drop("__b", "__carry")
+    out = rows.join(before, "__b").withColumns({n: r.join(F.col(f"__carry_{n}"), r.local(w)) for n, r in outs.items()})
+    return out.drop("__b", *[f"__carry_{n}" for n in outs])
 
 
 def value_positions(df: DataFrame, value: str) -> DataFrame:
@@ -73,7 +84,8 @@ def value_positions(df: DataFrame, value: str) -> DataFrame:
     how many rows are smaller, and how many values are."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     indexed = dense_index(counts, [F.asc(value)])
-    run = carried(indexed, F.sum("n"), lambda t, w: F.coalesce(F.sum(t).over(w), F.lit(0)), lambda w: F.sum("n").over(w), lambda a, b: a + b, "__upto")
+    upto = Running(F.sum("n"), lambda t, w: F.coalesce(F.sum(t).over(w), F.lit(0)), lambda w: F.sum("n").over(w), lambda a, b: a + b)
+    run = carried(indexed, {"__upto": upto})
     return run.select(value, "n", (F.col("__upto") - F.col("n")).alias("before"), F.col(INDEX).alias("dense"))
 
 

@@ -8,6 +8,7 @@ partition windows for ``over`` and over blocks of rows otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 from typing import TYPE_CHECKING
@@ -43,6 +44,7 @@ class Resolver:
         self.order: Order | None = frame.order
         self.dense: bool = frame.dense
         self._n = 0
+        self._ready: dict[int, Column] = {}
 
     # --- helpers
 
@@ -82,6 +84,44 @@ class Resolver:
 
     # --- expressions
 
+    def prepare(self, exprs: list[Expr]) -> None:
+        """Evaluate the order-dependent parts of several expressions in one pass each:
+        those that look at neighbours, and cumulative ones forward and backward."""
+        found: list[Expr] = []
+
+        def look(e: Expr) -> None:
+            if e.op == "over":
+                return
+            if e.op in ORDERED and not any(contains(a, ORDERED | AGGREGATES | {"over"}) for a in e.args):
+                found.append(e)
+                return
+            for a in e.args:
+                look(a)
+
+        for e in exprs:
+            look(e)
+        near = [e for e in found if is_bounded(e)]
+        runs = {b: [e for e in found if is_running(e) and (e.op == "backward_fill") == b] for b in (False, True)}
+        if len(near) + len(runs[False]) + len(runs[True]) < 2:
+            return
+        inputs = {id(e): F.col(self.put(self.column(e.args[0]))) for e in (*near, *runs[False], *runs[True])}
+        self.indexed()
+        if near:
+            parts = [(e, *bounded(e.op, inputs[id(e)], e.params, self.kind(inputs[id(e)]))) for e in near]
+            outs = {self.fresh(): build for _, _, _, build in parts}
+            self.df = order.neighbours(self.df, max(p[1] for p in parts), max(p[2] for p in parts), outs)
+            self._ready |= {id(e): F.col(n) for (e, *_), n in zip(parts, outs, strict=True)}
+        for backward, es in runs.items():
+            if es:
+                forms = [self._running_form(e.op, inputs[id(e)]) for e in es]
+                outs = {self.fresh(): r for r, _ in forms}
+                self.df = order.carried(self.df, outs, backward)
+                self._ready |= {id(e): finish(F.col(n)) for e, n, (_, finish) in zip(es, outs, forms, strict=True)}
+
+    def fresh(self) -> str:
+        self._n += 1
+        return f"__r{self._n}"
+
     def column(self, e: Expr, keys: tuple[str, ...] | None = None) -> Column:
         if e.op == "col":
             return F.col(quoted(e.params[0]))
@@ -96,7 +136,7 @@ class Resolver:
         if e.op in AGGREGATES:
             return self._scalar(e) if keys is None else F.col(self._grouped([e], keys)[0])
         if e.op in ORDERED:
-            return self._ordered(e, keys)
+            return self._ready[id(e)] if id(e) in self._ready and keys is None else self._ordered(e, keys)
         return rowwise.FUNCTIONS[e.op](self, e.params, *[self.column(a, keys) for a in e.args])
 
     def _over(self, inner: Expr, keys: tuple[str, ...]) -> Column:
@@ -163,18 +203,18 @@ class Resolver:
             return self._occurrence(op, c, keys)
         if op.startswith("ewm_"):
             return self._ewm(op, c, float(p[0]), keys)
-        if op.startswith("cum_") or (op.endswith("ward_fill") and not (p and p[0])):
+        if is_running(e):
             return self._running(op, c, keys)
         back, ahead, build = bounded(op, c, p, self.kind(c))
         if keys is not None:
             return build(Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*sort_columns(self.ordered())))
         self.indexed()
-        self._n += 1
-        out = f"__r{self._n}"
-        self.df = order.neighbours(self.df, back, ahead, build, out)
+        out = self.fresh()
+        self.df = order.neighbours(self.df, back, ahead, {out: build})
         return F.col(out)
 
-    def _running(self, op: str, c: Column, keys: tuple[str, ...] | None) -> Column:
+    def _running_form(self, op: str, c: Column) -> tuple[order.Running, Callable[[Column], Column]]:
+        """A cumulative function and what finishes its value."""
         kind = self.kind(c)
         double = c.cast("double")
         at = F.col(order.INDEX)
@@ -188,22 +228,25 @@ class Resolver:
             "backward_fill": (F.min_by(c, F.when(c.isNotNull(), at)), None, lambda a, b: F.coalesce(b, a)),
         }
         total, over, join = forms[op]
-        fill, backward = over is None, op == "backward_fill"
+        fill = over is None
         local_f = {"cum_count": F.count, "cum_prod": lambda _: F.product(double)}.get(op, over)
         local = (lambda w: F.last(c, ignorenulls=True).over(w)) if fill else (lambda w: local_f(c).over(w))
         guard = (lambda x: x) if fill or op == "cum_count" else (lambda x: F.when(c.isNotNull(), x))
         typed = (lambda x: x.cast(kind)) if op == "cum_sum" and rowwise.is_int(kind) else (lambda x: x)
+        carry = (lambda t, w: F.last(t, ignorenulls=True).over(w)) if fill else (lambda t, w: over(t).over(w))
+        return order.Running(total, carry, local, join), lambda x: typed(guard(x))
+
+    def _running(self, op: str, c: Column, keys: tuple[str, ...] | None) -> Column:
+        form, finish = self._running_form(op, c)
         if keys is not None:
             w = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*sort_columns(self.ordered()))
-            if backward:
+            if op == "backward_fill":
                 return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-            return typed(guard(local(w.rowsBetween(Window.unboundedPreceding, 0))))
+            return finish(form.local(w.rowsBetween(Window.unboundedPreceding, 0)))
         self.indexed()
-        carry = (lambda t, w: F.last(t, ignorenulls=True).over(w)) if fill else (lambda t, w: over(t).over(w))
-        self._n += 1
-        out = f"__r{self._n}"
-        self.df = order.carried(self.df, total, carry, local, join, out, backward)
-        return typed(guard(F.col(out)))
+        out = self.fresh()
+        self.df = order.carried(self.df, {out: form}, op == "backward_fill")
+        return finish(F.col(out))
 
     def _rank(self, c: Column, method: str, keys: tuple[str, ...] | None) -> Column:
         if keys is not None:
@@ -320,6 +363,14 @@ def ewm(x: np.ndarray, alpha: float, op: str, state: np.ndarray) -> tuple[list,
     return out, np.array([w, wx, wxx, ww])
 
 
+def is_running(e: Expr) -> bool:
+    return e.op.startswith("cum_") or (e.op.endswith("ward_fill") and not (e.params and e.params[0]))
+
+
+def is_bounded(e: Expr) -> bool:
+    return e.op in ("shift", "diff", "pct_change", "peak_max", "peak_min") or e.op.startswith("rolling_") or (e.op.endswith("ward_fill") and not is_running(e))
+
+
 def bounded(op: str, c: Column, p: tuple, kind: T.DataType) -> tuple[int, int, object]:
     """Reach back, reach ahead, and the column over an ordered window."""
     lag = lambda n: (lambda w: F.lag(c, n).over(w) if n >= 0 else F.lead(c, -n).over(w))

@@ -121,7 +121,7 @@ def upsample(f: Frame, name: str, every: str) -> Frame:
     # steps after a time up to the next one that is a whole number of steps from the first
     i = ordering.dense_index(t, [F.asc("t")])
     slot = F.floor((F.col("t") - first) / step)
-    n = ordering.neighbours(i.withColumn("s", slot), 0, 1, lambda w: F.lead("s").over(w), "next")
+    n = ordering.neighbours(i.withColumn("s", slot), 0, 1, {"next": lambda w: F.lead("s").over(w)})
     low = F.when(F.col("s") * step == F.col("t") - first, F.col("s")).otherwise(F.col("s") + 1)
     grid = n.select(F.explode(F.sequence(low, F.greatest(F.coalesce(F.col("next"), F.col("s")), low))).alias("k")).select("k").distinct()
     top = f.df.agg(F.floor((F.max(micros(c)) - first) / step)).scalar()

@@ -123,7 +123,7 @@ def is_sorted(f: Frame, name: str, descending: bool = False) -> bool:
     r = Resolver(f.drop_nulls(name))
     r.indexed()
     c = F.col(quoted(name))
-    ok = ordering.neighbours(r.df, 1, 0, lambda w: (F.lag(c).over(w) >= c) if descending else (F.lag(c).over(w) <= c), "__ok")
+    ok = ordering.neighbours(r.df, 1, 0, {"__ok": lambda w: (F.lag(c).over(w) >= c) if descending else (F.lag(c).over(w) <= c)})
     return ok.agg(F.coalesce(F.bool_and("__ok"), F.lit(True))).first()[0]
 
 
