@@ -504,8 +504,7 @@ class GroupBy:
     def agg(self, *exprs: Expr) -> Frame:
         """Keys, then aggregates; no aggregate gives the distinct keys.
 
-        Groups of one key come in order of first appearance where the order is
-        explicit or first/last is asked for, else in key order.
+        Groups of one key come in order of first appearance, of more in key order.
         """
         r = Resolver(self.frame)
         by = [F.col(quoted(k)) for k in self.keys]
@@ -519,8 +518,9 @@ class GroupBy:
             if contains(inner.args[0], AGGREGATES | ORDERED):
                 inner = Expr(inner.op, (col(r.put(r.column(inner.args[0]))),), inner.params)
             cols.append(r.aggregate_column(inner).alias(output_name(e)))
-        if len(self.keys) == 1 and r.order is not None and all(not d and not n for _, d, n in r.order):
-            out = r.df.groupBy(*by).agg(*cols, F.min(r.order_key()).alias(ROW))
+        if len(self.keys) == 1:
+            key = r.order_key()
+            out = r.df.groupBy(*by).agg(*cols, F.min(key).alias(ROW))
             return Frame(out, ((ROW, False, False),))
         return Frame(r.df.groupBy(*by).agg(*cols)).sort_by(list(self.keys))
 

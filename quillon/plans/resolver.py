@@ -71,7 +71,8 @@ class Resolver:
     def indexed(self) -> None:
         """Number the rows densely."""
         if not self.dense:
-            self.df = order.dense_index(self.df.drop(order.INDEX), sort_columns(self.ordered()))
+            spec = self.ordered()  # may add a column
+            self.df = order.dense_index(self.df.drop(order.INDEX), sort_columns(spec))
             self.order, self.dense = ((order.INDEX, False, False),), True
 
     def order_key(self) -> Column:
@@ -260,7 +261,8 @@ class Resolver:
         name = self.df.select(c).columns[0]
         if method == "ordinal":
             # positions by value, then by row order; nulls go last and get none
-            self.df = order.dense_index(self.df, [c.asc_nulls_last(), *sort_columns(self.ordered())], f"__o{self._n}")
+            spec = self.ordered()
+            self.df = order.dense_index(self.df, [c.asc_nulls_last(), *sort_columns(spec)], f"__o{self._n}")
             return F.when(c.isNotNull(), (F.col(f"__o{self._n}") + 1).cast("double"))
         v = order.value_positions(self.df.select(name), name)
         low, n = F.col("before") + 1, F.col("n")

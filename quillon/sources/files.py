@@ -36,6 +36,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if not nulls:
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         df = reader.csv(path)
+        if schema is None:  # whole numbers are 64 bits wide
+            df = df.withColumns({f.name: F.col(quoted(f.name)).cast("long") for f in df.schema.fields if isinstance(f.dataType, T.IntegerType)})
     else:
         # several null spellings: read text, blank them, then give types
         text = reader.csv(path)

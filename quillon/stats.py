@@ -72,9 +72,16 @@ def _matrix(f: Frame, cell) -> Frame:
     return type(f)(f.df.sparkSession.createDataFrame(rows, schema), (("__at", False, False),))
 
 
+def _corr(a: str, b: str):
+    """Pearson correlation; NaN where a column is constant, null without pairs."""
+    x, y = _pair(a, b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / F.when(spread != 0, spread))
+
+
 def corr(f: Frame) -> Frame:
     """Pearson correlation of all numeric columns, over pairs without null."""
-    return _matrix(f, lambda a, b: F.corr(*_pair(a, b)))
+    return _matrix(f, _corr)
 
 
 def cov(f: Frame, ddof: int = 1) -> Frame:
@@ -82,7 +89,7 @@ def cov(f: Frame, ddof: int = 1) -> Frame:
 
 
 def pearson_corr(f: Frame, a: str, b: str) -> float:
-    return f.df.agg(F.corr(*_pair(a, b))).first()[0]
+    return f.df.agg(_corr(a, b)).first()[0]
 
 
 def covariance(f: Frame, a: str, b: str, ddof: int = 1) -> float:
