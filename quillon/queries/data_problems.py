@@ -101,6 +101,16 @@ def p5_trades(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ts", F.regexp_replace(F.trim("ts"), "Z$", "").try_cast("timestamp_ntz"))
 
 
+_CELL = '("(?:[^"]|"")*"|[^",]*)'
+_PLAIN = "trim(CASE WHEN starts_with({0}, '\"') THEN substr({0}, 2, length({0}) - 2) ELSE {0} END, chr(32) || chr(9))"
+_DECIMAL = "regexp_full_match({0}, '[0-9]*\\.?[0-9]*') AND regexp_matches({0}, '[0-9]')"
+_P5 = f"""
+WITH r AS (SELECT line_id, feed, regexp_full_match(line, '{_CELL}(,{_CELL})*', 's') AS well, regexp_extract_all(',' || line, ',{_CELL}', 1, 's') AS cells FROM raw_lines),
+v AS (SELECT *, {_PLAIN.format("cells[4]")} AS a, {_PLAIN.format("cells[5]")} AS b FROM r),
+e AS (SELECT line_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> 5 THEN 'columns'
+  WHEN feed = 'shop_orders' AND (NOT ({_DECIMAL.format("a")}) OR b <> '' AND (NOT ({_DECIMAL.format("b")}) OR TRY_CAST(b AS DOUBLE) > 1)) THEN 'value'
+  WHEN feed = 'trades_v2' AND (NOT regexp_full_match(b, '[0-9]+') OR coalesce(TRY_CAST(b AS BIGINT), 0) <= 0) THEN 'value' END AS reason FROM v)
+SELECT line_id, reason FROM e WHERE reason IS NOT NULL"""
 _P5_SHOP = "SELECT order_id, region, product, unit_price, discount FROM shop_orders"
 
 
@@ -195,6 +205,7 @@ SQL = {
     "p1_found": _P1,
     "p3_found": _P3,
     "p3_totals": _P3_TOTALS,
+    "p5_found": _P5,
     "p5_shop_orders": _P5_SHOP,
     "p6_found": _P6,
     "p6_rolling": _P6_ROLLING,

@@ -103,16 +103,16 @@ class Pipeline:
     def slice(self, sink: str, checkpoint: str, offset: int, length: int) -> StreamingQuery:
         """Rows [offset, offset + length) across batches, as Parquet.
 
-        The count of rows before a batch is kept by batch, so a batch that is
-        run again after a failure gives the same rows.
+        Each batch's number of rows is written beside the result, so a batch
+        that is run again, or runs after a restart, starts at the same row.
         """
-        before: dict[int, int] = {}
-        out = sink.rstrip("/")
+        out, spark = sink.rstrip("/"), self.source.sparkSession
+        counts = f"{out}-counts"
 
         def run(df: DataFrame, batch: int) -> None:
-            start = before.get(batch, 0)
             rows = df.persist()
-            before[batch + 1] = start + rows.count()
+            spark.range(1).select(F.lit(rows.count()).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={batch}")
+            start = spark.read.parquet(counts).filter(F.col("batch") < batch).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             low, high = max(offset - start, 0), offset + length - start
             if high > 0:
                 rows.offset(low).limit(max(high - low, 0)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
