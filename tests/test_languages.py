@@ -129,3 +129,17 @@ def test_plans(people):
     p = introspect.Profiler()
     p.collect("all", f)
     assert "all" in p.report() and '"name": "all"' in p.chrome_trace()
+
+
+def test_tools_and_typed_columns(spark, people, sf):
+    from quillon import tools
+    from quillon.typed import Float, Int, Str
+
+    path = f"{sf}/nation.parquet"
+    assert tools.call(spark, "row_count", path=path) == 25 and tools.call(spark, "schema", path=path)[0] == {"name": "n_nationkey", "type": "int"}
+    assert len(tools.call(spark, "head", path=path, n=3)) == 3 and tools.call(spark, "null_counts", path=path)["n_name"] == 0
+    assert tools.call(spark, "sql", query="SELECT count(*) AS n FROM nation", paths=[path]) == [{"n": 25}]
+    assert {r["statistic"] for r in tools.call(spark, "describe", path=path)} >= {"mean", "75%"}
+    assert rows(people.filter(Int("age") > 15).select((Int("age") + 1).alias("x"), Str("name").str.upper().alias("u"))) == [(21, "B"), (31, "C")]
+    with pytest.raises(TypeError):
+        people.select(Float("age"))
