@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, LongType
 
-from quillon.runtime import HOT_PIECES, HOT_SHARE, hot_values, piece_of
+from quillon.runtime import HOT_PIECES, HOT_SHARE, durable, hot_values, piece_of
 
 #: Bits of the digits: sign, exponent and 12 bits of the fraction; then the rest.
 DIGITS = (24, 20, 20)
@@ -118,14 +118,21 @@ def from_summary(summary: DataFrame, quantiles: list[float], min_count: int = 1)
     return _interpolated(_targets(summary, quantiles, min_count).withColumn("value", from_ordered_bits(middle)))
 
 
-def _select(rows: DataFrame, quantiles: list[float], min_count: int, few_groups: bool) -> DataFrame:
-    """Exact percentiles of rows ``(grp, bits)`` by following the digits."""
+def _followed(rows: DataFrame, quantiles: list[float], min_count: int, few_groups: bool) -> DataFrame:
+    """Values ``(grp, digit, bits, n, want)`` whose leading digit holds a target
+    rank, with the targets of their group (two a quantile)."""
     targets = _targets(histogram(rows), quantiles, min_count)
     # by group alone: the rows' layout serves the join as it is
-    wanted = targets.groupBy("grp").agg(F.collect_set("digit").alias("digits"))
+    wanted = targets.groupBy("grp").agg(F.collect_list(F.struct("total", "q", "side", "digit", "rank")).alias("want"))
     wanted = F.broadcast(wanted) if few_groups else wanted.hint("shuffle_hash")
-    followed = rows.join(wanted, "grp").withColumn("digit", _digit(0)).filter(F.array_contains("digits", F.col("digit"))).select("grp", "digit", "bits")
-    deeper = followed.groupBy("grp", "digit", F.col("bits").alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    hit = rows.join(wanted, "grp").withColumn("digit", _digit(0)).filter(F.exists("want", lambda t: t["digit"] == F.col("digit")))
+    return hit.groupBy("grp", "digit", "bits").agg(F.count(F.lit(1)).alias("n"), F.any_value("want").alias("want"))
+
+
+def _select(deeper: DataFrame) -> DataFrame:
+    """Exact percentiles from what ``_followed`` gives, digit by digit."""
+    targets = deeper.select("grp", F.explode("want").alias("t")).select("grp", "t.*").distinct()
+    deeper = deeper.drop("want")
     for level in range(1, len(DIGITS)):
         # histogram of this digit within the digits followed so far
         hist = deeper.groupBy("grp", "digit", _digit(level).alias("next")).agg(F.sum("n").alias("n"))
@@ -136,6 +143,7 @@ def _select(rows: DataFrame, quantiles: list[float], min_count: int, few_groups:
         longer = lambda d, x, w=width: F.shiftleft(d, w).bitwiseOR(x)
         targets = hit.select("grp", "total", "q", "side", longer("digit", F.col("next")).alias("digit"), (F.col("rank") - F.col("before")).alias("rank"))
         if level + 1 < len(DIGITS):
+            targets = durable(targets)  # a few numbers a group; cuts the plan
             keep = targets.select("grp", "digit").distinct()
             deeper = deeper.withColumn("digit", longer("digit", _digit(level))).join(keep, ["grp", "digit"])
     return _interpolated(targets.withColumn("value", from_ordered_bits("digit")))
@@ -150,5 +158,7 @@ def percentiles(df: DataFrame, group: Column, value: Column, quantiles: list[flo
     table gives no rows.  Other columns aren't read.
     """
     light, heavy = records(df, group, value, ident, share)
-    out = _select(light, quantiles, min_count, few_groups=False)
-    return out if heavy is None else out.unionByName(_select(heavy, quantiles, min_count, few_groups=True))
+    followed = _followed(light, quantiles, min_count, few_groups=False)
+    if heavy is not None:
+        followed = followed.unionByName(_followed(heavy, quantiles, min_count, few_groups=True))
+    return _select(durable(followed))
