@@ -2,10 +2,11 @@
 
 Method: shape-preserving monotone cubic interpolation per source segment.
 Readings are first summed to one knot per occupied slot (mean time, mean
-value), which combines on the map side.  Time shards (source, day) are then
-interpolated on their own; each receives the two nearest knots of the shards
-before and after it as a halo, so slopes at its edges are those of the whole
-segment.  Gaps longer than a limit end a segment and stay marked.
+value), which combines before the shuffle.  Time shards of a source are then
+fitted on their own; each receives as a halo the last knot of the nearest
+shard before it that has any, and the first two knots after it, so slopes at
+its edges are those of the whole segment.  Gaps longer than a limit end a
+segment and stay marked.
 """
 
 from __future__ import annotations
@@ -13,42 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import HOT_PIECES, HOT_SHARE, hot_values, piece_of
+from quillon.runtime import PIECE_ROWS, with_pieces
 
+#: Days of a source in one time shard.
+SHARD_DAYS = 21
 
-def slot_knots(df: DataFrame, source: Column, ts: Column, value: Column, ident: str, slot_seconds: int, share: float = HOT_SHARE) -> DataFrame:
-    """One row ``(source, day, slot, n, sum_t, sum_v)`` per occupied slot.
 
-    ``slot`` counts slots since 1970, times are seconds within the slot.
-    Repeats of a record (source, slot, ``ident``) count once, with the smallest
-    of values that disagree.  Rows lacking any part are left out.
+def slot_knots(df: DataFrame, source: Column, ts: Column, value: Column, ident: str, slot_seconds: int, shard_days: int = SHARD_DAYS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """One row ``(source, shard, slot, n, sum_t, sum_v)`` per occupied slot.
+
+    ``slot`` counts slots since 1970, ``shard`` spans of ``shard_days``; times
+    are seconds within the slot.  Repeats of a record (source, slot, ``ident``)
+    count once, with the smallest of values that disagree.  Rows lacking any
+    part are left out.  A source with more than ``piece_rows`` rows is spread
+    over pieces by ``ident``, whose sums are then added: at most one row a slot
+    and piece.
     """
     if 86400 % slot_seconds:
         raise ValueError("slots must divide a day evenly")
+    per_day = 86400 // slot_seconds
     # built from calendar parts: independent of the session's time zone
     second = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("double") + F.date_part(F.lit("SECOND"), ts).cast("double")
-    slot = F.unix_date(ts.cast("date")).cast("long") * (86400 // slot_seconds) + F.floor(second / slot_seconds)
-    rows = df.select(source.alias("source"), ts.cast("date").alias("day"), slot.alias("slot"), (second % slot_seconds).alias("t"), value.cast("double").alias("v"), F.col(ident).alias("__id"))
+    slot = F.unix_date(ts.cast("date")).cast("long") * per_day + F.floor(second / slot_seconds)
+    rows = df.select(source.alias("source"), slot.alias("slot"), (second % slot_seconds).alias("t"), value.cast("double").alias("v"), F.col(ident).alias("__id"))
     rows = rows.filter(F.col("source").isNotNull() & F.col("slot").isNotNull() & F.col("v").isNotNull() & F.col("__id").isNotNull())
+    rows = with_pieces(rows, ["source"], "__id", piece_rows).withColumn("shard", F.floor(F.col("slot") / (per_day * shard_days)))
+    records = rows.repartition("source", "shard", "__piece").groupBy("source", "shard", "__piece", "slot", "__id").agg(F.min("t").alias("t"), F.min("v").alias("v"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("t").alias("sum_t"), F.sum("v").alias("sum_v")]
-    once = lambda d, *by: d.repartition(*[F.col(c) for c in by]).groupBy(*by, "slot", "__id").agg(F.min("t").alias("t"), F.min("v").alias("v"))
-    # a day of a source is split only if it alone is hot
-    hot = hot_values(rows, "source", share)
-    hot_days = hot_values(rows.filter(F.col("source").isin(hot)).select(F.struct("source", "day").alias("sd")), "sd", share) if hot else []
-    if not hot_days:
-        return once(rows, "source", "day").groupBy("source", "day", "slot").agg(*sums)
-    names = list({r["source"] for r in hot_days})
-    is_hot = F.col("source").isin(names)
-    pieces = rows.filter(is_hot).withColumn("__piece", piece_of("source", names, "__id", HOT_PIECES))
-    heavy = once(pieces, "source", "day", "__piece").groupBy("source", "day", "__piece", "slot").agg(*sums)
-    heavy = heavy.repartition("source", "day").groupBy("source", "day", "slot").agg(*[F.sum(c).alias(c) for c in ("n", "sum_t", "sum_v")])
-    return once(rows.filter(~is_hot), "source", "day").groupBy("source", "day", "slot").agg(*sums).unionByName(heavy)
-
-
-def _slot_start(slot_seconds: int) -> Column:
-    """Start of slot ``at`` as a timestamp without time zone."""
-    per_day = 86400 // slot_seconds
-    return F.expr(f"cast(date_from_unix_date(cast(at div {per_day} as int)) as timestamp_ntz) + make_dt_interval(0, 0, 0, (at % {per_day}) * {slot_seconds})")
+    parts = records.groupBy("source", "shard", "__piece", "slot").agg(*sums)
+    return parts.repartition("source", "shard").groupBy("source", "shard", "slot").agg(*[F.sum(c).alias(c) for c in ("n", "sum_t", "sum_v")])
 
 
 def _edge_slope(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
@@ -65,58 +59,79 @@ def _inner_slope(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
     return F.when(turn, F.lit(0.0)).otherwise((w0 + w1) / (w0 / F.when(~turn, s0) + w1 / F.when(~turn, s1)))
 
 
-def regular_series(knots: DataFrame, slot_seconds: int, max_gap_slots: int, min_readings: int = 1) -> DataFrame:
-    """Regular series ``(source, day, slot, n, value, state)`` from ``slot_knots``.
+def fit_segments(knots: DataFrame, slot_seconds: int, max_gap_slots: int) -> DataFrame:
+    """The curve from each knot to the next one of its source.
 
-    For each source and day with at least ``min_readings`` readings, all slots
-    from the day's first to its last occupied one.  ``state``: ``observed``
-    (value is the mean of its readings), ``filled`` (interpolated at the middle
-    of the slot) or ``gap`` (in a gap of more than ``max_gap_slots`` empty
-    slots; value null).  Interpolated values never leave the range of the two
-    knots around them.  An empty input gives no rows.
+    ``(source, shard, slot, n, x, y, next_slot, next_x, next_y, m, next_m)``
+    from ``slot_knots``: knot, next knot (null for the last) and the slopes at
+    both, which are null where more than ``max_gap_slots`` empty slots lie
+    between.  A shard is one row with its knots as an array (at most the slots
+    of a shard), so no knot is sorted with those of other shards.
     """
-    k = knots.select("source", "day", F.col("day").alias("shard"), "slot", "n", F.expr(f"cast(slot as double) * {slot_seconds} + sum_t / n").alias("x"), (F.col("sum_v") / F.col("n")).alias("y"))
-    shard = Window.partitionBy("source", "shard")
-    ends = k.select("*", F.row_number().over(shard.orderBy("slot")).alias("up"), F.row_number().over(shard.orderBy(F.desc("slot"))).alias("down"), F.sum("n").over(shard).alias("in_day"))
-    own = ends.withColumn("halo", F.lit(False))
-    forward = ends.filter("down <= 2").withColumn("shard", F.date_add("shard", 1)).withColumn("halo", F.lit(True))
-    back = ends.filter("up <= 2").withColumn("shard", F.date_sub("shard", 1)).withColumn("halo", F.lit(True))
-    both = own.unionAll(forward).unionAll(back).repartition("source", "shard")
-
-    by = shard.orderBy("slot")
-    w = both.select("*", *[F.lead(c, i).over(by).alias(f"{c}_{i}") for c in ("slot", "x", "y") for i in (1, 2)], *[F.lag(c, i).over(by).alias(f"{c}_b{i}") for c in ("slot", "x", "y") for i in (1, 2)])
-
-    def part(a: str, b: str) -> tuple[Column, Column]:
+    x = F.expr(f"cast(slot as double) * {slot_seconds} + sum_t / n")
+    knot = F.struct("slot", "n", x.alias("x"), (F.col("sum_v") / F.col("n")).alias("y"))
+    shards = knots.groupBy("source", "shard").agg(F.array_sort(F.collect_list(knot)).alias("own"))
+    by = Window.partitionBy("source").orderBy("shard")  # a row a shard
+    edges = shards.select("source", "shard", F.get("own", F.lit(0)).alias("head"), F.get("own", F.lit(1)).alias("second"), F.element_at("own", -1).alias("tail"))
+    halo = edges.select("source", "shard", F.lag("tail").over(by).alias("a"), F.lead("head").over(by).alias("c"), F.coalesce(F.lead("second").over(by), F.lead("head", 2).over(by)).alias("d"))
+    full = F.concat(F.array("a"), F.col("own"), F.array("c", "d"))
+    rows = shards.join(halo, ["source", "shard"]).select("source", "shard", full.alias("k"), F.size("own").alias("len"))
+    four = F.arrays_zip(*[F.slice("k", i, F.col("len")).alias(name) for i, name in enumerate("abcd", 1)])
+    k = rows.select("source", "shard", F.explode(four).alias("k")).select("source", "shard", "k.*")
+
+    def part(p: str, q: str) -> tuple[Column, Column]:
         """Width and slope between two neighbouring knots, null across a long gap."""
-        sa, sb = (F.col(f"slot{s}") for s in (a, b))
-        near = (sb - sa - 1) <= max_gap_slots
-        h = F.when(near, F.col(f"x{b}") - F.col(f"x{a}"))
-        return h, (F.col(f"y{b}") - F.col(f"y{a}")) / h
-
-    hb2, sb2 = part("_b2", "_b1")
-    hb1, sb1 = part("_b1", "")
-    h1, s1 = part("", "_1")
-    h2, s2 = part("_1", "_2")
-    slope = F.when(hb1.isNotNull() & h1.isNotNull(), _inner_slope(hb1, h1, sb1, s1)).when(h1.isNotNull(), _edge_slope(h1, h2, s1, s2)).when(hb1.isNotNull(), _edge_slope(hb1, hb2, sb1, sb2))
-    w = w.select("source", "day", "shard", "slot", "n", "x", "y", "halo", "in_day", "slot_1", "x_1", "y_1", slope.alias("m"))
-    w = w.withColumn("m_1", F.lead("m").over(by)).withColumn("own_next", ~F.lead("halo").over(by))
-    w = w.filter(~F.col("halo") & (F.col("in_day") >= min_readings))
-
-    # an occupied slot brings the empty slots up to the next one of its day
-    last = F.when(F.coalesce(F.col("own_next"), F.lit(False)), F.col("slot_1") - 1).otherwise(F.col("slot"))
-    g = w.select("*", F.explode(F.sequence("slot", last)).alias("at"))
+        near = (F.col(f"{q}.slot") - F.col(f"{p}.slot") - 1) <= max_gap_slots
+        h = F.when(near, F.col(f"{q}.x") - F.col(f"{p}.x"))
+        return h, (F.col(f"{q}.y") - F.col(f"{p}.y")) / h
+
+    parts = {n: part(*n) for n in ("ab", "bc", "cd")}
+    k = k.select("source", "shard", "b", "c", *[v.alias(f"{s}_{n}") for n, hs in parts.items() for s, v in zip("hs", hs, strict=True)])
+    h, s = ({n: F.col(f"{t}_{n}") for n in parts} for t in "hs")
+    # a knot with a neighbour on one side only has a one-sided slope
+    m = F.when(h["ab"].isNotNull(), _inner_slope(h["ab"], h["bc"], s["ab"], s["bc"])).otherwise(_edge_slope(h["bc"], h["cd"], s["bc"], s["cd"]))
+    next_m = F.when(h["cd"].isNotNull(), _inner_slope(h["bc"], h["cd"], s["bc"], s["cd"])).otherwise(_edge_slope(h["bc"], h["ab"], s["bc"], s["ab"]))
+    near = h["bc"].isNotNull()
+    return k.select(
+        "source", "shard", "b.slot", "b.n", "b.x", "b.y", F.col("c.slot").alias("next_slot"), F.col("c.x").alias("next_x"), F.col("c.y").alias("next_y"),
+        F.when(near, m).alias("m"), F.when(near, next_m).alias("next_m"),
+    )
+
+
+def on_grid(segments: DataFrame, slot_seconds: int) -> DataFrame:
+    """Slots ``(source, slot, n, value, state)`` of segments, each from its knot up to before the next one.
+
+    ``slot`` is the start as a timestamp without zone; ``value`` of an empty
+    slot is the curve at its middle.
+    """
+    last = F.coalesce(F.col("next_slot") - 1, F.col("slot"))
+    g = segments.select("*", F.explode(F.sequence("slot", last)).alias("at"))
     mid = F.col("at").cast("double") * slot_seconds + slot_seconds / 2
-    h = F.col("x_1") - F.col("x")
+    y0, y1, m0, m1 = (F.col(c) for c in ("y", "next_y", "m", "next_m"))
+    h = F.col("next_x") - F.col("x")
     u = (mid - F.col("x")) / h
-    cubic = (
-        (F.lit(1.0) + 2 * u) * (1 - u) * (1 - u) * F.col("y") + u * (1 - u) * (1 - u) * h * F.col("m")
-        + u * u * (F.lit(3.0) - 2 * u) * F.col("y_1") + u * u * (u - 1) * h * F.col("m_1")
-    )
-    bounded = F.greatest(F.least(cubic, F.greatest("y", "y_1")), F.least("y", "y_1"))
-    observed, wide = F.col("at") == F.col("slot"), (F.col("slot_1") - F.col("slot") - 1) > max_gap_slots
+    cubic = (F.lit(1.0) + 2 * u) * (1 - u) * (1 - u) * y0 + u * (1 - u) * (1 - u) * h * m0 + u * u * (F.lit(3.0) - 2 * u) * y1 + u * u * (u - 1) * h * m1
+    # rounding must not carry a value out of the range of its two knots
+    bounded = F.when(m0.isNotNull(), F.greatest(F.least(cubic, F.greatest(y0, y1)), F.least(y0, y1)))
+    observed = F.col("at") == F.col("slot")
+    per_day = 86400 // slot_seconds
+    start = F.expr(f"cast(date_from_unix_date(cast(floor(at / {per_day}) as int)) as timestamp_ntz) + make_dt_interval(0, 0, 0, pmod(at, {per_day}) * {slot_seconds})")
     return g.select(
-        "source", "day", _slot_start(slot_seconds).alias("slot"),
+        "source", start.alias("slot"),
         F.when(observed, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"),
-        F.when(observed, F.col("y")).when(~wide, bounded).alias("value"),
-        F.when(observed, F.lit("observed")).when(wide, F.lit("gap")).otherwise(F.lit("filled")).alias("state"),
+        F.when(observed, y0).otherwise(bounded).alias("value"),
+        F.when(observed, F.lit("observed")).when(m0.isNull(), F.lit("gap")).otherwise(F.lit("filled")).alias("state"),
     )
+
+
+def regular_series(knots: DataFrame, slot_seconds: int, max_gap_slots: int) -> DataFrame:
+    """Regular series ``(source, slot, n, value, state)`` from ``slot_knots``.
+
+    For each source all slots from its first to its last occupied one, over
+    the ends of days and shards.  ``state``: ``observed`` (value is the mean of
+    its readings), ``filled`` (interpolated at the middle of the slot) or
+    ``gap`` (in a gap of more than ``max_gap_slots`` empty slots; value null).
+    Interpolated values never leave the range of the two knots around them.
+    An empty input gives no rows.
+    """
+    return on_grid(fit_segments(knots, slot_seconds, max_gap_slots), slot_seconds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import copy_diff, raw_records, regular_grid, rolling_state, skewed_totals
@@ -166,21 +166,46 @@ SLOT = 1800
 MAX_GAP = 6
 
 
-def _series(spark: SparkSession, sf: str, min_readings: int) -> DataFrame:
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
     trades = table(spark, sf, "trades_v2").filter((F.col("price") > 0) & ~F.isnan("price"))
     knots = regular_grid.slot_knots(trades, clean("symbol", "upper"), F.col("ts"), F.col("price"), "trade_id", SLOT)
-    return regular_grid.regular_series(knots, SLOT, MAX_GAP, min_readings)
+    return regular_grid.fit_segments(knots, SLOT, MAX_GAP)
 
 
 def p7_series(spark: SparkSession, sf: str) -> DataFrame:
-    """Half-hourly prices per symbol; empty slots filled, or marked in gaps of over three hours."""
-    return _series(spark, sf, 1).select(F.col("source").alias("symbol"), F.substring(F.col("slot").cast("string"), 1, 16).alias("slot"), "n", F.round("value", 6).alias("price"), "state")
+    """Half-hourly prices per symbol from its first to its last trade; empty slots filled, or marked in gaps of over three hours."""
+    series = regular_grid.on_grid(_segments(spark, sf), SLOT)
+    return series.select(F.col("source").alias("symbol"), F.substring(F.col("slot").cast("string"), 1, 16).alias("slot"), "n", F.round("value", 6).alias("price"), "state")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _series(spark, sf, 10).filter("n = 0").select(F.col("source").alias("symbol"), F.substring(F.col("slot").cast("string"), 1, 16).alias("slot"))
-
-
+    """Slots inside busy days that the series had to fill with a usable price or to mark."""
+    segments = _segments(spark, sf).withColumn("day", F.floor(F.col("slot") / (86400 // SLOT)))
+    # shards hold whole days
+    busy = segments.withColumn("in_day", F.sum("n").over(Window.partitionBy("source", "shard", "day")))
+    inside = busy.filter((F.col("in_day") >= 10) & (F.floor(F.col("next_slot") / (86400 // SLOT)) == F.col("day")))
+    series = regular_grid.on_grid(inside, SLOT).filter("n = 0 and (state = 'gap' or state = 'filled' and value > 0)")
+    return series.select(F.col("source").alias("symbol"), F.substring(F.col("slot").cast("string"), 1, 16).alias("slot"))
+
+
+_EDGE = """CASE WHEN {s1} IS NULL THEN {s0} WHEN sign({d}) <> sign({s0}) THEN 0 WHEN sign({s0}) <> sign({s1}) AND abs({d}) > abs(3 * {s0}) THEN 3 * {s0} ELSE {d} END"""
+_SLOPE = lambda h0, h1, s0, s1: _EDGE.format(s0=s0, s1=s1, d=f"(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}))")
+_MEAN = "CASE WHEN sign({s0}) * sign({s1}) <= 0 THEN 0 ELSE (3 * {h0} + 3 * {h1}) / ((2 * {h1} + {h0}) / {s0} + ({h1} + 2 * {h0}) / {s1}) END"
+_P7_SERIES = f"""
+WITH t AS (SELECT symbol, slot, trade_id, min(epoch(ts) - epoch(slot)) AS t, min(price) AS v FROM (
+    SELECT trade_id, upper(trim(symbol)) AS symbol, ts, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, price FROM trades_v2 WHERE ts IS NOT NULL AND symbol IS NOT NULL AND price > 0 AND NOT isnan(price)) GROUP BY ALL),
+k AS (SELECT symbol, CAST(epoch(slot) // 1800 AS BIGINT) AS s, count(*) AS n, epoch(slot) + sum(t) / count(*) AS x, sum(v) / count(*) AS y FROM t GROUP BY symbol, slot),
+w AS (SELECT *, lag(s) OVER o AS s0, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3, lag(x) OVER o AS x0, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lag(y) OVER o AS y0, lead(y) OVER o AS y2, lead(y, 2) OVER o AS y3 FROM k WINDOW o AS (PARTITION BY symbol ORDER BY s)),
+h AS (SELECT *, CASE WHEN s - s0 <= {MAX_GAP + 1} THEN x - x0 END AS ha, CASE WHEN s2 - s <= {MAX_GAP + 1} THEN x2 - x END AS hb, CASE WHEN s3 - s2 <= {MAX_GAP + 1} THEN x3 - x2 END AS hc FROM w),
+q AS (SELECT *, (y - y0) / ha AS qa, (y2 - y) / hb AS qb, (y3 - y2) / hc AS qc FROM h),
+m AS (SELECT *, CASE WHEN ha IS NOT NULL THEN {_MEAN.format(h0="ha", h1="hb", s0="qa", s1="qb")} ELSE {_SLOPE("hb", "hc", "qb", "qc")} END AS m1,
+  CASE WHEN hc IS NOT NULL THEN {_MEAN.format(h0="hb", h1="hc", s0="qb", s1="qc")} ELSE {_SLOPE("hb", "ha", "qb", "qa")} END AS m2 FROM q),
+g AS (SELECT *, unnest(range(s, coalesce(s2, s + 1))) AS pos FROM m),
+u AS (SELECT *, (pos * 1800 + 900.0::DOUBLE - x) / hb AS u FROM g),
+v AS (SELECT *, (1 + 2 * u) * (1 - u) * (1 - u) * y + u * (1 - u) * (1 - u) * hb * m1 + u * u * (3 - 2 * u) * y2 + u * u * (u - 1) * hb * m2 AS p FROM u)
+SELECT symbol, strftime(make_timestamp(pos * 1800000000), '%Y-%m-%d %H:%M') AS slot, CASE WHEN pos = s THEN n ELSE 0 END AS n,
+  round(CASE WHEN pos = s THEN y WHEN hb IS NOT NULL THEN greatest(least(p, greatest(y, y2)), least(y, y2)) END, 6) AS price,
+  CASE WHEN pos = s THEN 'observed' WHEN hb IS NULL THEN 'gap' ELSE 'filled' END AS state FROM v"""
 _P7 = """
 WITH t AS (SELECT DISTINCT trade_id, upper(trim(symbol)) AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS slot FROM trades_v2
   WHERE ts IS NOT NULL AND symbol IS NOT NULL AND price > 0 AND NOT isnan(price)),
@@ -210,4 +235,5 @@ SQL = {
     "p6_found": _P6,
     "p6_rolling": _P6_ROLLING,
     "p7_found": _P7,
+    "p7_series": _P7_SERIES,
 }

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 64
 #: Pieces into which a hot group is split.
 HOT_PIECES = 32
+#: Rows of one key for one task; a key with more is cut into pieces of that size.
+PIECE_ROWS = 1 << 18
+#: Most keys that can be large enough to be cut.
+MAX_BIG_KEYS = 1 << 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -61,6 +65,28 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return [r[0] for r in hot.select(key).collect()]
 
 
+def key_pieces(rows: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Keys with more rows than one piece holds: ``(keys..., __pieces)``.
+
+    Exact counts.  A piece has ``piece_rows`` rows, or more where the table is
+    so large that over ``MAX_BIG_KEYS`` keys could exceed it; so the result has
+    at most ``MAX_BIG_KEYS`` rows whatever the table and may be broadcast.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    size = F.greatest(F.lit(piece_rows).cast("long"), F.ceil(counts.agg(F.sum("__n")).scalar() / MAX_BIG_KEYS))
+    return counts.filter(F.col("__n") > size).select(*keys, F.ceil(F.col("__n") / size).cast("int").alias("__pieces"))
+
+
+def with_pieces(rows: DataFrame, keys: list[str], ident: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Add ``__piece``: rows of large keys are spread by ``ident``, others have piece 0.
+
+    Keys must not be null.  (keys, __piece) is then a layout in which no task
+    gets more than about one piece of any key.
+    """
+    cut = rows.join(F.broadcast(key_pieces(rows, keys, piece_rows)), keys, "left")
+    return cut.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(ident), F.col("__pieces")).cast("int"), F.lit(0))).drop("__pieces")
+
+
 def piece_of(key: str, hot: list, ident: str, pieces: int = HOT_PIECES) -> Column:
     """Piece number: spread by ``ident`` for hot values of ``key``, else 0."""
     if not hot:

@@ -9,10 +9,10 @@ T0 = dt.datetime(2026, 3, 2)
 SCHEMA = "id long, ts timestamp_ntz, s string, p double, source string, slot long"
 
 
-def series(spark, rows, gap=4, least=1, share=1 / 64):
+def series(spark, rows, gap=4, shard_days=1, piece_rows=1000):
     df = spark.createDataFrame([(*r, "clash", 0) for r in rows], SCHEMA)
-    knots = rg.slot_knots(df, F.col("s"), F.col("ts"), F.col("p"), "id", 1800, share)
-    return {(r["source"], r["slot"]): (r["n"], r["value"], r["state"]) for r in rg.regular_series(knots, 1800, gap, least).collect()}
+    knots = rg.slot_knots(df, F.col("s"), F.col("ts"), F.col("p"), "id", 1800, shard_days, piece_rows)
+    return {(r["source"], r["slot"]): (r["n"], r["value"], r["state"]) for r in rg.regular_series(knots, 1800, gap).collect()}
 
 
 def pchip(x, y, at):
@@ -53,31 +53,37 @@ def test_interpolation_equals_a_plain_implementation(spark):
         assert abs(v - pchip(x, y, 1800.0 * k + 900)) < 1e-9
 
 
-def test_halo_joins_the_days(spark):
-    """Slopes at the end of a day use the next day's readings."""
-    at = [46, 50, 51, 52]  # 23:00, then 1:00, 1:30, 2:00
-    first = [44, 46]
-    rows = [(i, T0 + dt.timedelta(seconds=1800 * k + 900), "A", float(k * k)) for i, k in enumerate([40, *first, *at[1:], 60])]
-    got = series(spark, rows, gap=60)
-    x = [1800.0 * k + 900 for k in [40, *first, *at[1:], 60]]
-    for k in (41, 43, 45):
-        assert abs(got["A", T0 + dt.timedelta(seconds=1800 * k)][1] - pchip(x, [float(k * k) for k in [40, *first, *at[1:], 60]], 1800.0 * k + 900)) < 1e-9
-    # nothing is filled between the days
-    assert ("A", T0 + dt.timedelta(seconds=1800 * 47)) not in got and ("A", T0 + dt.timedelta(seconds=1800 * 48)) not in got
+def test_shards_change_nothing(spark):
+    """Slopes at the end of a shard use the nearest knots beyond it, and slots between shards are filled."""
+    rng = random.Random(4)
+    slots = sorted([*rng.sample(range(48 * 9), 40), *range(48 * 30, 48 * 30 + 5)])
+    rows = [(i, T0 + dt.timedelta(seconds=1800 * k + 900), "A", float(rng.randrange(1, 90))) for i, k in enumerate(slots)]
+    x, y = [1800.0 * k + 900 for k in slots], [r[3] for r in rows]
+    for days in (1, 21):
+        got = series(spark, rows, gap=10_000, shard_days=days)
+        assert len(got) == slots[-1] - slots[0] + 1
+        for k in range(slots[0], slots[-1] + 1):
+            n, v, state = got["A", T0 + dt.timedelta(seconds=1800 * k)]
+            assert state == ("observed" if k in slots else "filled") and abs(v - pchip(x, y, 1800.0 * k + 900)) < 1e-8
+
+
+def test_slots_between_days_come_out(spark):
+    rows = [(i, T0 + dt.timedelta(hours=h), "A", float(i)) for i, h in enumerate((22.25, 23.25, 25.25, 26.25))]
+    got = series(spark, rows, gap=6)
+    assert [got["A", T0 + dt.timedelta(hours=h)][2] for h in (23.5, 24, 24.5)] == ["filled"] * 3 and len(got) == 9
 
 
-def test_gaps_repeats_ties_and_least_readings(spark):
+def test_gaps_repeats_and_ties(spark):
     m = lambda x: T0 + dt.timedelta(minutes=x)
     rows = [(1, m(5), "A", 2.0), (1, m(5), "A", 2.0), (2, m(5), "A", 4.0), (3, m(300), "A", 8.0), (4, m(10), "B", 1.0), (5, m(10), None, 1.0), (6, None, "A", 1.0), (7, m(10), "A", None), (None, m(10), "A", 3.0)]
     got = series(spark, rows)
     assert got["A", m(0)] == (2, 3.0, "observed") and got["A", m(30)] == (0, None, "gap") and got["B", m(0)] == (1, 1.0, "observed")
     assert len(got) == 12
-    assert {k[0] for k in series(spark, rows, least=3)} == {"A"}
     assert series(spark, []) == {}
 
 
-def test_hot_day_is_split(spark):
+def test_hot_source_is_split(spark):
     rows = [(i, T0 + dt.timedelta(seconds=40 * i), "A" if i % 3 else f"t{i}", float(i % 13)) for i in range(900)]
     rows += rows[::5]
     close = lambda a: {k: (n, None if v is None else round(v, 9), s) for k, (n, v, s) in a.items()}
-    assert close(series(spark, rows, share=0.01)) == close(series(spark, rows, share=2.0))
+    assert close(series(spark, rows, piece_rows=50)) == close(series(spark, rows))
