@@ -3,70 +3,85 @@
 Method: radix selection.  Floating values become order-preserving 64-bit
 integers; a histogram of their leading digit finds, for every target rank, the
 digit that contains it, and only the rows with that digit are followed to the
-next one.  After the last digit the value is known exactly.  A histogram has
-map-side combine, so neither the size of a group nor ties matter.
+next one.  After the last digit the value is known exactly.
 
-The histograms of the leading digit are summaries: those of separate days or
-files add up to the summary of all, and give percentiles whose rank is exact
-to the digit and whose value is within 2**-12 of it.
+Rows lie by (group, piece): groups larger than a piece are spread, so no task
+gets more than about one piece, whatever the size of a group.  Each task sums
+its rows to digits before anything is sent on.
+
+The histograms of a leading digit of 24 bits are summaries: those of separate
+days or files add up to the summary of all, and give percentiles whose rank is
+exact to the digit and whose value is within 2**-12 of it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, LongType
 
-from quillon.runtime import HOT_PIECES, HOT_SHARE, durable, hot_values, piece_of
+from quillon.runtime import PIECE_ROWS, durable, key_pieces
+
+#: Bits of the digits: sign, exponent and 8 bits of the fraction; then the rest.
+DIGITS = (20, 22, 22)
+#: Bits of a summary's digit: sign, exponent and 12 bits of the fraction.
+SUMMARY_BITS = 24
+
+
+def _power_of_two(n: Column) -> Column:
+    return F.pow(F.lit(2.0), n.cast("double"))
+
 
-#: Bits of the digits: sign, exponent and 12 bits of the fraction; then the rest.
-DIGITS = (24, 20, 20)
+def _scaled(x: Column, n: Column) -> Column:
+    """``x * 2**n`` in two steps, neither of which leaves the range of doubles."""
+    half = F.shiftright(n, 1)
+    return x * _power_of_two(half) * _power_of_two(n - half)
 
 
-@pandas_udf(LongType())
-def ordered_bits(values: pd.Series) -> pd.Series:
-    """Order-preserving integer of a double; -0.0 and 0.0 are one value."""
-    bits = (values.to_numpy(dtype="float64", na_value=np.nan) + 0.0).view("int64")
-    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+def with_ordered_bits(df: DataFrame, value: str, name: str = "bits") -> DataFrame:
+    """Add the order-preserving integer of a double (not null, not NaN): its
+    IEEE bits, those of negative values inverted.  -0.0 and 0.0 are one value."""
+    size = F.abs(value)
+    d = df.withColumn("__e", F.greatest(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), F.lit(-1022)).cast("int"))
+    # the logarithm may miss the exponent by one next to a power of two
+    low, high = size < _scaled(F.lit(1.0), F.col("__e")), size >= 2 * _scaled(F.lit(1.0), F.col("__e"))
+    d = d.withColumn("__e", F.greatest(F.col("__e") - low.cast("int") + F.coalesce((high & (F.col("__e") < 1023)).cast("int"), F.lit(0)), F.lit(-1022)))
+    fraction = _scaled(size, 52 - F.col("__e")).cast("long")
+    # the leading bit of a normal fraction adds one to the exponent field
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(F.shiftleft((F.col("__e") + 1022).cast("long"), 52) + fraction)
+    return d.withColumn(name, F.when(F.col(value) < 0, F.bitwise_not(bits)).otherwise(bits)).drop("__e")
 
 
-@pandas_udf(DoubleType())
-def from_ordered_bits(values: pd.Series) -> pd.Series:
-    bits = values.to_numpy(dtype="int64")
-    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view("float64"))
+def from_ordered_bits(bits: Column) -> Column:
+    """The double of an order-preserving integer."""
+    size = F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits)
+    exponent, fraction = F.shiftright(size, 52).cast("int"), size.bitwiseAND(F.lit((1 << 52) - 1))
+    normal = _scaled((fraction + F.lit(1 << 52)).cast("double"), exponent - 1075)
+    value = F.when(exponent == 0, _scaled(fraction.cast("double"), F.lit(-1074))).when(exponent == 2047, F.lit(float("inf"))).otherwise(normal)
+    return F.when(bits < 0, -value).otherwise(value)
 
 
-def records(df: DataFrame, group: Column, value: Column, ident: Column | None, share: float = HOT_SHARE) -> tuple[DataFrame, DataFrame | None]:
-    """Rows ``(grp, bits)`` of light groups and of heavy ones, repeats of a record once.
+def records(df: DataFrame, group: Column, value: Column, ident: Column | None, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(grp, __piece, bits, n)``, repeats of a record once, lying by (grp, __piece); and the pieces of large groups.
 
     Rows without group or value, NaN and rows without ``ident`` (if given) are
     left out.  A record is known by group and ``ident``; should repeats
-    disagree, the smallest value counts.  Light rows lie by group, so what
-    follows needs no further shuffle; heavy groups lie in pieces.
+    disagree, the smallest value counts.  Without ``ident`` every row counts.
     """
-    v = value.cast("double")
-    rows = df.select(group.alias("grp"), v.alias("v"), (F.lit(None) if ident is None else ident).alias("__id"))
+    rows = df.select(group.alias("grp"), value.cast("double").alias("v"), (F.lit(None) if ident is None else ident).alias("__id"))
     rows = rows.filter(F.col("grp").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
-    if ident is not None:
-        rows = rows.filter(F.col("__id").isNotNull())
-    hot = hot_values(rows, "grp", share)
-    rows = rows.withColumn("bits", ordered_bits("v")).drop("v")
+    pieces = key_pieces(rows if ident is None else rows.filter(F.col("__id").isNotNull()), ["grp"], piece_rows)
+    if ident is None:
+        # equal values meet before the shuffle, so a value of many rows is no burden
+        counts = with_ordered_bits(rows, "v").groupBy("grp", "bits").agg(F.count(F.lit(1)).alias("n"))
+        return _spread(counts, pieces, "bits").repartition("grp", "__piece"), pieces
+    rows = _spread(rows.filter(F.col("__id").isNotNull()), pieces, "__id")
+    once = rows.repartition("grp", "__piece").groupBy("grp", "__piece", "__id").agg(F.min("v").alias("v"))
+    return with_ordered_bits(once, "v").select("grp", "__piece", "bits", F.lit(1).cast("long").alias("n")), pieces
 
-    def once(d: DataFrame, *by: str) -> DataFrame:
-        d = d.repartition(*by)
-        return d.groupBy(*by, "__id").agg(F.min("bits").alias("bits")) if ident is not None else d
 
-    light = once(rows.filter(~F.col("grp").isin(hot)) if hot else rows, "grp").select("grp", "bits")
-    if not hot:
-        return light, None
-    # without an id nothing is repeated and the histogram's map side is enough
-    heavy = rows.filter(F.col("grp").isin(hot))
-    if ident is not None:
-        heavy = once(heavy.withColumn("__piece", piece_of("grp", hot, "__id", HOT_PIECES)), "grp", "__piece")
-    return light, heavy.select("grp", "bits")
+def _spread(rows: DataFrame, pieces: DataFrame, by: str) -> DataFrame:
+    cut = rows.join(F.broadcast(pieces), "grp", "left")
+    return cut.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("__pieces")).cast("int"), F.lit(0))).drop("__pieces")
 
 
 def _digit(level: int) -> Column:
@@ -77,9 +92,10 @@ def _digit(level: int) -> Column:
     return F.shiftright("bits", below).bitwiseAND(F.lit((1 << DIGITS[level]) - 1))
 
 
-def histogram(rows: DataFrame) -> DataFrame:
-    """Mergeable summary ``(grp, digit, n)`` of rows ``(grp, bits)``."""
-    return rows.groupBy("grp", _digit(0).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+def histogram(rows: DataFrame, digit_bits: int = SUMMARY_BITS) -> DataFrame:
+    """``(grp, digit, n)`` of what ``records`` gives; with the default digits a mergeable summary."""
+    local = rows.groupBy("grp", "__piece", F.shiftright("bits", 64 - digit_bits).alias("digit")).agg(F.sum("n").alias("n"))
+    return local.repartition("grp").groupBy("grp", "digit").agg(F.sum("n").alias("n"))
 
 
 def merge(*summaries: DataFrame) -> DataFrame:
@@ -113,20 +129,20 @@ def _interpolated(found: DataFrame) -> DataFrame:
 
 def from_summary(summary: DataFrame, quantiles: list[float], min_count: int = 1) -> DataFrame:
     """Percentiles ``(grp, n, q, value)`` of a summary, values within 2**-12 of the exact ones."""
-    below = sum(DIGITS[1:])
+    below = 64 - SUMMARY_BITS
     middle = F.shiftleft("digit", below) + F.lit(1 << (below - 1))
     return _interpolated(_targets(summary, quantiles, min_count).withColumn("value", from_ordered_bits(middle)))
 
 
-def _followed(rows: DataFrame, quantiles: list[float], min_count: int, few_groups: bool) -> DataFrame:
+def _followed(rows: DataFrame, pieces: DataFrame, quantiles: list[float], min_count: int) -> DataFrame:
     """Values ``(grp, digit, bits, n, want)`` whose leading digit holds a target
     rank, with the targets of their group (two a quantile)."""
-    targets = _targets(histogram(rows), quantiles, min_count)
-    # by group alone: the rows' layout serves the join as it is
+    targets = _targets(histogram(rows, DIGITS[0]), quantiles, min_count)
     wanted = targets.groupBy("grp").agg(F.collect_list(F.struct("total", "q", "side", "digit", "rank")).alias("want"))
-    wanted = F.broadcast(wanted) if few_groups else wanted.hint("shuffle_hash")
-    hit = rows.join(wanted, "grp").withColumn("digit", _digit(0)).filter(F.exists("want", lambda t: t["digit"] == F.col("digit")))
-    return hit.groupBy("grp", "digit", "bits").agg(F.count(F.lit(1)).alias("n"), F.any_value("want").alias("want"))
+    # targets go to where the rows lie, not the rows to the targets
+    spread = wanted.join(F.broadcast(pieces), "grp", "left").select("grp", "want", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces") - 1, F.lit(0)))).alias("__piece"))
+    hit = rows.join(spread.hint("shuffle_hash"), ["grp", "__piece"]).withColumn("digit", _digit(0)).filter(F.exists("want", lambda t: t["digit"] == F.col("digit")))
+    return hit.groupBy("grp", "digit", "bits").agg(F.sum("n").alias("n"), F.any_value("want").alias("want"))
 
 
 def _select(deeper: DataFrame) -> DataFrame:
@@ -146,19 +162,16 @@ def _select(deeper: DataFrame) -> DataFrame:
             targets = durable(targets)  # a few numbers a group; cuts the plan
             keep = targets.select("grp", "digit").distinct()
             deeper = deeper.withColumn("digit", longer("digit", _digit(level))).join(keep, ["grp", "digit"])
-    return _interpolated(targets.withColumn("value", from_ordered_bits("digit")))
+    return _interpolated(targets.withColumn("value", from_ordered_bits(F.col("digit"))))
 
 
-def percentiles(df: DataFrame, group: Column, value: Column, quantiles: list[float], ident: Column | None = None, min_count: int = 1, share: float = HOT_SHARE) -> DataFrame:
+def percentiles(df: DataFrame, group: Column, value: Column, quantiles: list[float], ident: Column | None = None, min_count: int = 1, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact interpolated percentiles ``(grp, n, q, value)`` of every group.
 
     ``n`` is the number of values of the group; groups with fewer than
     ``min_count`` are left out.  Null and NaN are no values, infinities are.
-    With ``ident``, repeats of a record count once (see ``records``).  An empty
-    table gives no rows.  Other columns aren't read.
+    With ``ident``, repeats of a record count once (see ``records``).  ``group``
+    may be a struct.  An empty table gives no rows.  Other columns aren't read.
     """
-    light, heavy = records(df, group, value, ident, share)
-    followed = _followed(light, quantiles, min_count, few_groups=False)
-    if heavy is not None:
-        followed = followed.unionByName(_followed(heavy, quantiles, min_count, few_groups=True))
-    return _select(durable(followed))
+    rows, pieces = records(df, group, value, ident, piece_rows)
+    return _select(durable(_followed(rows, pieces, quantiles, min_count)))

@@ -39,25 +39,23 @@ _P2_RANKED = f"{_P2_TOP} SELECT src, grp, CAST(rank AS INTEGER) AS rank, item_id
 # --- p4: percentiles
 
 
-def _timing_group():
-    return F.concat_ws(":", F.col("solution"), F.col("query_number"), F.col("io_type"))
-
-
-def _prices(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "trades_v2").filter("price > 0")
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable prices and durations as ``(src, grp, id, value, part)``; a record lies in one part (day or version)."""
+    usable = table(spark, sf, "trades_v2").filter("price > 0").select(F.lit("trades_v2").alias("src"), clean("symbol", "upper").alias("grp"), F.col("trade_id").alias("id"), F.col("price").alias("value"), F.col("ts").cast("date").cast("string").alias("part"))
+    whole = F.col("solution").isNotNull() & F.col("query_number").isNotNull() & F.col("io_type").isNotNull()
+    runs = table(spark, sf, "timings").filter((F.col("scale_factor") == 1) & (F.col("`duration[s]`") > 0) & whole)
+    group = F.concat_ws(":", F.col("solution"), F.col("query_number"), F.col("io_type"))
+    timed = runs.select(F.lit("timings").alias("src"), group.alias("grp"), F.col("run_id").alias("id"), F.col("`duration[s]`").alias("value"), F.col("version").alias("part"))
+    return usable.unionAll(timed).filter("grp is not null")
 
 
-def _durations(spark: SparkSession, sf: str) -> DataFrame:
-    whole = F.col("solution").isNotNull() & F.col("query_number").isNotNull() & F.col("io_type").isNotNull()
-    return table(spark, sf, "timings").filter((F.col("scale_factor") == 1) & (F.col("`duration[s]`") > 0) & whole)
+def _by_group(out: DataFrame) -> DataFrame:
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return out.groupBy("grp.src", "grp.grp", "n").agg(pick(0.5).alias("median"), pick(0.99).alias("p99"))
 
 
 def _percentiles(spark: SparkSession, sf: str, min_count: int) -> DataFrame:
-    prices = percentiles.percentiles(_prices(spark, sf), clean("symbol", "upper"), F.col("price"), [0.5, 0.99], F.col("trade_id"), min_count)
-    times = percentiles.percentiles(_durations(spark, sf), _timing_group(), F.col("`duration[s]`"), [0.5, 0.99], F.col("run_id"), min_count)
-    both = prices.withColumn("src", F.lit("trades_v2")).unionByName(times.withColumn("src", F.lit("timings")))
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
-    return both.groupBy("src", "grp", "n").agg(pick(0.5).alias("median"), pick(0.99).alias("p99"))
+    return _by_group(percentiles.percentiles(_measured(spark, sf), F.struct("src", "grp"), F.col("value"), [0.5, 0.99], F.col("id"), min_count))
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,15 +68,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """The same percentiles of durations from summaries of the versions, made apart and added up."""
-    rows = _durations(spark, sf)
-    # a run has one version, so versions are disjoint parts
-    light, heavy = percentiles.records(rows, F.concat_ws("\t", F.col("version"), _timing_group()), F.col("`duration[s]`"), F.col("run_id"))
-    parts = percentiles.histogram(light) if heavy is None else percentiles.histogram(light).unionByName(percentiles.histogram(heavy))
-    merged = percentiles.merge(parts.withColumn("grp", F.substring_index("grp", "\t", -1)))
-    out = percentiles.from_summary(merged, [0.5, 0.99])
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
-    return out.groupBy("grp", "n").agg(pick(0.5).alias("median"), pick(0.99).alias("p99"))
+    """The same percentiles from summaries of each day of prices and each version of timings, made apart and added up."""
+    rows, _ = percentiles.records(_measured(spark, sf), F.struct("src", "grp", "part"), F.col("value"), F.col("id"))
+    merged = percentiles.merge(percentiles.histogram(rows).withColumn("grp", F.struct("grp.src", "grp.grp")))
+    return _by_group(percentiles.from_summary(merged, [0.5, 0.99]))
 
 
 _P4 = """
@@ -88,6 +81,9 @@ WITH t AS (
     WHERE "duration[s]" > 0 AND NOT isnan("duration[s]") AND scale_factor = 1 GROUP BY ALL),
 p AS (SELECT src, grp, count(*) AS n, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.99) AS p99 FROM t WHERE grp IS NOT NULL GROUP BY 1, 2)"""
 _P4_ALL = f"{_P4} SELECT src, grp, n, median, p99 FROM p"
+# a summary knows a value up to the middle of its digit of 12 fraction bits
+_WIDTH = "pow(2, floor(log2(v)) - 12)"
+_P4_MERGED = f"{_P4} SELECT src, grp, count(*) AS n, quantile_cont(floor(v / {_WIDTH}) * {_WIDTH} + {_WIDTH} / 2, 0.5) AS median, quantile_cont(floor(v / {_WIDTH}) * {_WIDTH} + {_WIDTH} / 2, 0.99) AS p99 FROM t WHERE grp IS NOT NULL GROUP BY 1, 2"
 _P4_FOUND = f"{_P4} SELECT src, grp FROM p WHERE n >= 100 AND p99 > 4 * median"
 
 
@@ -179,4 +175,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_levels": p10_levels,
 }
-SQL = {"p2_found": _P2, "p2_top": _P2_RANKED, "p4_found": _P4_FOUND, "p4_percentiles": _P4_ALL}
+SQL = {"p2_found": _P2, "p2_top": _P2_RANKED, "p4_found": _P4_FOUND, "p4_percentiles": _P4_ALL, "p4_merged": _P4_MERGED}

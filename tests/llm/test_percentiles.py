@@ -43,14 +43,26 @@ def rows_of(rng, n=3000):
 
 def test_exact_for_light_and_heavy_groups(spark):
     rows = rows_of(random.Random(3))
-    for share in (0.01, 2.0):
-        agrees(got(P.percentiles(frame(spark, rows), F.col("g"), F.col("v"), QS, F.col("i"), share=share)), rows)
+    for piece_rows in (100, 10**6):
+        agrees(got(P.percentiles(frame(spark, rows), F.col("g"), F.col("v"), QS, F.col("i"), piece_rows=piece_rows)), rows)
+
+
+def test_pieces_follow_the_rows_of_a_group(spark):
+    rows = [("hot", float(i), i) for i in range(1000)] + [(f"t{i}", 1.0, i) for i in range(100)]
+    records, _ = P.records(frame(spark, rows), F.col("g"), F.col("v"), F.col("i"), 100)
+    sizes = sorted(r["count"] for r in records.filter("grp = 'hot'").groupBy("__piece").count().collect())
+    assert len(sizes) == 10 and sizes[-1] < 200
 
 
 def test_order_preserving_bits(spark):
-    vs = [-math.inf, -1.7e308, -2.0, -5e-324, 0.0, 5e-324, 1.0, 2.0, 1.7e308, math.inf]
-    out = spark.createDataFrame([(v,) for v in vs], "v double").select("v", P.ordered_bits("v").alias("b")).select("v", "b", P.from_ordered_bits("b").alias("w")).orderBy("b").collect()
-    assert [r["v"] for r in out] == vs and [r["w"] for r in out] == vs
+    rng = random.Random(8)
+    vs = [-math.inf, -1.7e308, -2.0, -5e-324, 0.0, 5e-324, 1.0, 2.0, 1.7e308, math.inf, 2.2250738585072014e-308, 2.225073858507201e-308]
+    vs += [math.ldexp(1.0, e) * f for e in range(-1070, 1023, 3) for f in (1.0, 1.0 - 2**-53, -1.0 - 2**-52, rng.random())]
+    out = P.with_ordered_bits(spark.createDataFrame([(v,) for v in vs], "v double"), "v").select("v", "bits", P.from_ordered_bits(F.col("bits")).alias("w")).collect()
+    for r in out:
+        raw = int(np.array([r["v"] + 0.0]).view("int64")[0])
+        assert r["bits"] == (raw if raw >= 0 else raw ^ 0x7FFFFFFFFFFFFFFF), r["v"]
+        assert r["w"] == r["v"]
 
 
 def test_without_id_and_least_count(spark):
@@ -66,8 +78,7 @@ def test_summaries_of_parts_add_up(spark):
     rows = [(rng.choice("ab"), rng.lognormvariate(3, 2), i) for i in range(2000)]
     parts = []
     for k in range(3):
-        light, heavy = P.records(frame(spark, rows[k::3]), F.col("g"), F.col("v"), F.col("i"))
-        parts.append(P.histogram(light) if heavy is None else P.histogram(light).unionByName(P.histogram(heavy)))
+        parts.append(P.histogram(P.records(frame(spark, rows[k::3]), F.col("g"), F.col("v"), F.col("i"))[0]))
     found = got(P.from_summary(P.merge(*parts), QS))
     for g in "ab":
         vs = np.array([v for x, v, _ in rows if x == g])
