@@ -125,10 +125,10 @@ def _sized_sources(spark: SparkSession, sf: str) -> DataFrame:
     return durable(docs.select("doc_id", clean("source", "lower").alias("source"), tokens.token_count(F.col("text")).alias("tokens")))
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf: str, on_capped: str = "leave") -> tuple[DataFrame, DataFrame]:
     sized = _sized_sources(spark, sf)
     targets = table(spark, sf, "mix_targets").select(clean("source", "lower").alias("source"), "target_share", "max_repeats")
-    shares = durable(mixing.plan_shares(sized, targets))
+    shares = mixing.plan_shares(sized, targets, on_capped=on_capped)
     return mixing.mix(sized, shares), shares
 
 
@@ -137,15 +137,29 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[0]
 
 
-def p9_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares aimed at and reached by each source."""
-    mixture, shares = _mixed(spark, sf)
+def _report(spark: SparkSession, sf: str, on_capped: str) -> DataFrame:
+    mixture, shares = _mixed(spark, sf, on_capped)
     return mixing.report(durable(mixture), shares)
 
 
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares aimed at and reached by each source in a mix of the size of all documents."""
+    return _report(spark, sf, "leave")
+
+
+def p9_report_refill(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with what capped sources lack taken from the others."""
+    return _report(spark, sf, "refill")
+
+
+def p9_report_shrink(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the largest mix in which every source reaches its share."""
+    return _report(spark, sf, "shrink")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that the mix uses as often as allowed without reaching their share."""
-    return p9_report(spark, sf).filter("capped").select("source")
+    """Sources whose documents the mix uses as often as allowed without reaching their share."""
+    return p9_report(spark, sf).filter("exhausted").select("source")
 
 
 # --- p10: reading level
@@ -172,6 +186,8 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
+    "p9_report_refill": p9_report_refill,
+    "p9_report_shrink": p9_report_shrink,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
 }

@@ -31,9 +31,9 @@ def test_flight_is_unbiased_and_handles_equal_sizes():
     assert abs(equal.sum() - 10) < 1e-6
 
 
-def mixed(spark, docs, targets, **k):
+def mixed(spark, docs, targets, size=None, on_capped="leave", **k):
     sized = spark.createDataFrame(docs, "doc_id long, source string, tokens long").persist()
-    shares = durable(mixing.plan_shares(sized, spark.createDataFrame(targets, "source string, target_share double, max_repeats int")))
+    shares = durable(mixing.plan_shares(sized, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), size, on_capped))
     mixture = durable(mixing.mix(sized, shares, **k))
     return {r["doc_id"]: r["copies"] for r in mixture.collect()}, {r["source"]: r for r in mixing.report(mixture, shares).collect()}
 
@@ -45,12 +45,12 @@ def test_shares_repeats_and_caps(spark):
     total = sum(t for *_, t in docs)
     size = {i: (s, t) for i, s, t in docs}
     for s, share, cap in (("big", 0.3, 1), ("mid", 0.5, 4)):
-        assert not report[s]["capped"]
+        assert not report[s]["exhausted"]
         assert abs(sum(size[i][1] * c for i, c in copies.items() if size[i][0] == s) - share * total) < 600
         own = {c for i, c in copies.items() if size[i][0] == s}
         assert max(own) <= cap and max(own) - min(own) <= 1
-    assert report["rare"]["capped"] and {c for i, c in copies.items() if size[i][0] == "rare"} == {2}
-    assert not report["none"]["capped"] and report["none"]["mixed_tokens"] == 0
+    assert report["rare"]["exhausted"] and {c for i, c in copies.items() if size[i][0] == "rare"} == {2}
+    assert not report["none"]["exhausted"] and report["none"]["mixed_tokens"] == 0
     assert -1 not in copies and -2 not in copies
     assert abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-9
     again, _ = mixed(spark, docs, [("big", 0.3, 1), ("mid", 0.5, 4), ("rare", 0.2, 2), ("none", 0.0, 3)], shard=500)
@@ -60,3 +60,27 @@ def test_shares_repeats_and_caps(spark):
 def test_empty_tables(spark):
     assert mixed(spark, [], [("a", 1.0, 2)])[0] == {}
     assert mixed(spark, [(1, "a", 5)], [])[0] == {}
+
+
+def test_capped_sources_by_choice(spark):
+    """A third source that can give half of its share: the others keep their amount, fill up or shrink with it."""
+    rng = random.Random(9)
+    docs = [(i, "abc"[min(i % 5, 2)] if i % 10 else "c", rng.randrange(1, 40)) for i in range(4000)]
+    own = {s: sum(t for _, x, t in docs if x == s) for s in "abc"}
+    size = own["c"] * 5
+    targets = [("a", 0.4, 50), ("b", 0.2, 50), ("c", 0.4, 1)]
+    reports = {way: mixed(spark, docs, targets, size, way, shard=30)[1] for way in ("leave", "refill", "shrink")}
+    for s, share in (("a", 0.4), ("b", 0.2)):
+        assert abs(reports["leave"][s]["mixed_tokens"] - share * size) < 80 and reports["leave"][s]["missing"] < 80
+        assert abs(reports["refill"][s]["mixed_tokens"] - share / 0.6 * (size - own["c"])) < 80
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 for r in reports["shrink"].values())
+    assert reports["leave"]["c"]["exhausted"] and reports["refill"]["c"]["exhausted"]
+    assert abs(reports["leave"]["c"]["missing"] - own["c"]) < 1e-6
+    assert abs(sum(r["mixed_tokens"] for r in reports["refill"].values()) - size) < 160
+
+
+def test_goals_hand_on_what_is_lacking_more_than_once():
+    assert mixing.goals([(0.5, 10.0), (0.3, 35.0), (0.2, 1e9)], 100.0, "refill") == [10.0, 35.0, 55.0]
+    assert mixing.goals([(0.5, 10.0), (0.5, 20.0)], 100.0, "refill") == [10.0, 20.0]
+    assert mixing.goals([(0.0, 10.0), (1.0, 500.0)], 100.0, "refill") == [0.0, 100.0]
+    assert mixing.goals([(0.5, 10.0), (0.5, 20.0)], 100.0, "shrink") == [10.0, 10.0]
