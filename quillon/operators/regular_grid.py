@@ -39,6 +39,8 @@ def slot_knots(df: DataFrame, source: Column, ts: Column, value: Column, ident:
     rows = df.select(source.alias("source"), slot.alias("slot"), (second % slot_seconds).alias("t"), value.cast("double").alias("v"), F.col(ident).alias("__id"))
     rows = rows.filter(F.col("source").isNotNull() & F.col("slot").isNotNull() & F.col("v").isNotNull() & F.col("__id").isNotNull())
     rows = with_pieces(rows, ["source"], "__id", piece_rows).withColumn("shard", F.floor(F.col("slot") / (per_day * shard_days)))
+    # said here so that both uses of the knots have one plan and share their shuffles
+    rows = rows.filter(F.col("shard").isNotNull())
     records = rows.repartition("source", "shard", "__piece").groupBy("source", "shard", "__piece", "slot", "__id").agg(F.min("t").alias("t"), F.min("v").alias("v"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("t").alias("sum_t"), F.sum("v").alias("sum_v")]
     parts = records.groupBy("source", "shard", "__piece", "slot").agg(*sums)
