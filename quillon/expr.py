@@ -76,9 +76,9 @@ class Expr:
     def forward_fill(self, limit: int = 0) -> Expr: return Expr("forward_fill", (self,), (limit,))
     def backward_fill(self, limit: int = 0) -> Expr: return Expr("backward_fill", (self,), (limit,))
     def rank(self, method: str = "average") -> Expr: return Expr("rank", (self,), (method,))
-    def ewm_mean(self, alpha: float) -> Expr: return Expr("ewm_mean", (self,), (alpha,))
-    def ewm_var(self, alpha: float) -> Expr: return Expr("ewm_var", (self,), (alpha,))
-    def ewm_std(self, alpha: float) -> Expr: return Expr("ewm_std", (self,), (alpha,))
+    def ewm_mean(self, alpha: float) -> Expr: return Expr("ewm_mean", (self,), (_share(alpha),))
+    def ewm_var(self, alpha: float) -> Expr: return Expr("ewm_var", (self,), (_share(alpha),))
+    def ewm_std(self, alpha: float) -> Expr: return Expr("ewm_std", (self,), (_share(alpha),))
     def quantile(self, q: float) -> Expr: return Expr("quantile", (self,), (q,))
     def entropy(self, base: float = 2.718281828459045) -> Expr: return Expr("entropy", (self,), (base,))
     def sort(self, descending: bool = False) -> Expr: return Expr("sort", (self,), (descending,))
@@ -94,6 +94,12 @@ class Expr:
     def struct(self) -> Namespace: return Namespace(self, "struct")
 
 
+def _share(alpha: float) -> float:
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    return alpha
+
+
 def _method(op: str) -> Callable:
     def method(self: Expr, *params: Any) -> Expr:
         return Expr(op, (self,), params)

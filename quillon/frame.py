@@ -8,7 +8,6 @@ scan.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_, or_
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon import order, reshape, selectors, stats
-from quillon.expr import AGGREGATES, ORDERED, RESHAPING, Expr, col, columns, contains, output_name
+from quillon.expr import AGGREGATES, ORDERED, RESHAPING, Expr, col, columns, contains, output_name, walk
 from quillon.functions import aggregates, rowwise
 from quillon.plans.resolver import ROW, Order, Resolver, sort_columns
 from quillon.runtime import durable, quoted
@@ -116,9 +115,14 @@ class Frame:
     def row(self, i: int) -> list:
         return list(self.slice(i, 1).collect()[0])
 
-    def iter_batches(self) -> Iterator:
-        """Rows in order, one partition at a time at the driver."""
-        return self.to_df(ordered=True).toLocalIterator(prefetchPartitions=True)
+    def iter_batches(self, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Arrow batches in row order, of at most ``rows`` rows, one partition at a time at the driver."""
+        from quillon.sources.files import arrow_batches
+
+        for b in arrow_batches(self):
+            step = rows or max(b.num_rows, 1)
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
 
     def sink(self, writer: Callable[[DataFrame], Any]) -> Any:
         return writer(self.to_df(ordered=True))
@@ -174,11 +178,18 @@ class Frame:
         return self._with(self.df.drop(*gone)) if self.order is not None and gone and len(gone) < len(self.columns) else self
 
     def _aggregated(self, es: list[Expr]) -> Frame:
-        """One row of aggregates."""
+        """One row of aggregates, or of row-local functions of aggregates: one pass."""
         r = Resolver(self)
-        if all(e.op in AGGREGATES - {"entropy", "median", "quantile"} for e in (e.args[0] if e.op == "alias" else e for e in es)):
-            cols = [r.aggregate_column(e.args[0] if e.op == "alias" else e).alias(output_name(e)) for e in es]
-            return Frame(r.df.agg(*cols))
+        parts = [x for e in es for x in walk(e) if x.op in AGGREGATES]
+        if all(x.op not in ("entropy", "median", "quantile") and not contains(x.args[0], AGGREGATES | ORDERED | {"over"}) for x in parts):
+            names = {id(x): f"__a{i}" for i, x in enumerate(parts)}
+            one = Frame(r.df.agg(*[r.aggregate_column(x).alias(names[id(x)]) for x in parts]))
+
+            def swap(e: Expr) -> Expr:
+                return col(names[id(e)]) if id(e) in names else Expr(e.op, tuple(swap(a) for a in e.args), e.params)
+
+            after = Resolver(one)
+            return Frame(one.df.select(*[after.column(swap(e)).alias(output_name(e)) for e in es]))
         cols = [r.column(e).alias(output_name(e)) for e in es]
         return Frame(self.df.sparkSession.range(1).select(*cols))
 
@@ -317,9 +328,11 @@ class Frame:
         return Frame(r.df, tuple((n, not d, not f) for n, d, f in r.ordered()), False) if r.ordered() else self
 
     def head(self, n: int = 10) -> Frame:
-        """First rows in order: a top-n, not a sort of all rows."""
+        """First rows in order: a top-n, or by position where ``n`` is more than a block."""
         if self.order is None:
             return self._with(self.df.limit(n))
+        if n > order.BLOCK_ROWS:
+            return self._positions(0, n)
         return self._with(self.df.orderBy(*sort_columns(self.order)).limit(n), dense=False)
 
     limit = head
@@ -331,10 +344,18 @@ class Frame:
         """Rows [offset, offset + length), cut at the end."""
         if offset < 0:
             raise ValueError("the offset is negative")
+        if offset + length > order.BLOCK_ROWS:
+            return self._positions(offset, offset + length)
         r = Resolver(self)
         r.ordered()
         return Frame(r.df.orderBy(*sort_columns(r.order)).offset(offset).limit(length), r.order, False)
 
+    def _positions(self, low: int, high: int) -> Frame:
+        """Rows by position, each task keeping its own: no task receives them all."""
+        r = Resolver(self)
+        r.indexed()
+        return Frame(r.df.filter((F.col(order.INDEX) >= low) & (F.col(order.INDEX) < high)), r.order, False)
+
     def top_k(self, k: int, by: str) -> Frame:
         return self.sort(by, True).head(k)
 
@@ -344,17 +365,21 @@ class Frame:
     def sample(self, n: int, replacement: bool = False, seed: int = 0) -> Frame:
         """Exactly ``n`` rows in input order, drawn with a seed."""
         total = self.height()
-        if replacement:
-            if not total:
-                return self.head(0)
-            rng = random.Random(seed)
-            return self.gather(sorted(rng.randrange(total) for _ in range(n)))
-        if n > total:
+        if not replacement and n > total:
             raise ValueError("more rows asked for than there are")
         r = Resolver(self)
         r.indexed()
-        drawn = r.df.orderBy(F.xxhash64(F.lit(seed), F.col(order.INDEX)), order.INDEX).limit(n)
-        return Frame(drawn, r.order, False)
+        key = F.xxhash64(F.lit(seed), F.col(order.INDEX))
+        if not replacement and n <= order.BLOCK_ROWS:
+            return Frame(r.df.orderBy(key, order.INDEX).limit(n), r.order, False)
+        if not replacement:
+            # the n rows that come first by hash, cut by position
+            drawn = order.dense_index(r.df, [key.asc(), F.asc(order.INDEX)], "__drawn")
+            return Frame(drawn.filter(F.col("__drawn") < n).drop("__drawn"), r.order, False)
+        if not total:
+            return self.head(0)
+        draws = self.df.sparkSession.range(n).select(F.col("id").alias("__w"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).alias(order.INDEX))
+        return Frame(r.df.join(draws, order.INDEX), (*r.order, ("__w", False, False)), False)
 
     def sample_frac(self, fraction: float, replacement: bool = False, seed: int = 0) -> Frame:
         return self.sample(int(fraction * self.height()), replacement, seed)

@@ -94,13 +94,17 @@ FUNCTIONS |= {
     "le": _ieee(lambda a, b: a <= b), "gt": _ieee(lambda a, b: a > b), "ge": _ieee(lambda a, b: a >= b),
     "and": lambda ctx, p, a, b: a & b, "or": lambda ctx, p, a, b: a | b, "not": lambda ctx, p, a: ~a,
     "is_null": lambda ctx, p, a: a.isNull(), "is_not_null": lambda ctx, p, a: a.isNotNull(),
-    "cast": lambda ctx, p, a: cast(a, p[0]),
+    "cast": lambda ctx, p, a: cast(a, p[0], ctx.kind(a)),
 }
 
 
-def cast(a: Column, to: str) -> Column:
+def cast(a: Column, to: str, kind: T.DataType | None = None) -> Column:
     """Cast in which a failure gives null, narrowing included."""
-    return a.try_cast(TYPES.get(to, to))
+    target = TYPES.get(to, to)
+    if isinstance(kind, T.StringType) and target in ("tinyint", "smallint", "int", "bigint"):
+        # a failing cast costs an exception a row; most failures are no numbers at all
+        return F.when(a.rlike(r"\A[\s\p{Cntrl}]*[+-]?[0-9]"), a.try_cast(target))
+    return a.try_cast(target)
 
 
 @function("is_nan")

@@ -91,9 +91,16 @@ def value_positions(df: DataFrame, value: str) -> DataFrame:
 
 def quantile_frame(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row ``q``: exact quantile of a column with linear interpolation, null if it has no value."""
+    return quantiles_frame(df, value, [q]).withColumnRenamed("q0", "q")
+
+
+def quantiles_frame(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
+    """One row ``q0, q1, ...``: several quantiles from one ordering of the values."""
     v = durable(value_positions(df, value))
     last = v.agg(F.sum("n")).scalar() - 1
-    at = last.cast("double") * q
     holds = lambda pos: F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")), F.col(value).cast("double")))
-    ends = v.agg(holds(F.floor(at)).alias("lo"), holds(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("part"))
-    return ends.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
+    cells = []
+    for i, q in enumerate(qs):
+        at = last.cast("double") * q
+        cells += [holds(F.floor(at)).alias(f"lo{i}"), holds(F.ceil(at)).alias(f"hi{i}"), F.max(at - F.floor(at)).alias(f"part{i}")]
+    return v.agg(*cells).select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(qs))])

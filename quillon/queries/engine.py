@@ -480,14 +480,14 @@ def _(o): return o.pipe(lambda f: f.select(col("o_orderkey").count().alias("n"))
 # --- SQL dialect, scripts, files and streams
 
 
-def sql_query(name: str, text: str, sql: str | None, *tables: str) -> None:
+def sql_query(name: str, text: str, sql: str | None, *tables: str, spark_rules: bool = False) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         from quillon.sql import Session
 
         session = Session(spark)
         for t in tables:
-            session.register(t, frame(spark, sf, t))
-        return session.query(text).to_df()
+            session.register(t, with_nan(frame(spark, sf, t)) if t == "events" else frame(spark, sf, t))
+        return (session.spark_sql if spark_rules else session.query)(text).to_df()
 
     QUERIES[name], SQL[name] = run, sql or text
 
@@ -498,7 +498,14 @@ sql_query("sql_global", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders
 sql_query("sql_order_limit", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey ASC LIMIT 12", None, "orders")
 sql_query("sql_distinct", "SELECT DISTINCT o_orderstatus FROM orders", None, "orders")
 sql_query("sql_limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", None, "orders")
-sql_query("sql_beyond", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 2) SELECT c_name, n FROM c JOIN customer ON c_custkey = o_custkey WHERE c_name LIKE '%1%'", None, "orders", "customer")
+sql_query("sql_beyond", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 2) SELECT c_name, n FROM c JOIN customer ON c_custkey = o_custkey WHERE c_name LIKE '%1%'", None, "orders", "customer", spark_rules=True)
+# the same rules in every clause: events come with NaN, infinities and nulls in x
+_X_EVENTS = f"({_NAN})"
+sql_query("sql_in_nan", "SELECT event_id FROM events WHERE x > 1 AND event_id % 2 IN (0, 1)".replace("event_id % 2", "event_id - event_id"), f"SELECT event_id FROM {_X_EVENTS} WHERE x > 1 AND NOT isnan(x)", "events")
+sql_query("sql_order_expression", "SELECT event_id FROM events ORDER BY x, event_id + 0 LIMIT 500", f"SELECT event_id FROM (SELECT *, isnan(x) AS n FROM {_X_EVENTS}) ORDER BY x NULLS LAST, event_id LIMIT 500", "events")
+sql_query("sql_having", "SELECT o_custkey, count(*) AS n, sum(o_totalprice) / count(*) > 1000 AS dear FROM orders GROUP BY o_custkey HAVING count(*) > 2 AND max(o_totalprice) BETWEEN 1000 AND 400000", None, "orders")
+sql_query("sql_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_orderstatus IN ('O', 'P') AND NOT o_orderpriority LIKE '1%' THEN 'open' ELSE lower(o_orderstatus) END AS c, o_totalprice * 2 - 1 AS d FROM orders WHERE o_custkey NOT IN (1, 2) AND o_orderpriority IS NOT NULL", None, "orders")
+sql_query("sql_group_expression", "SELECT o_orderkey > 1000 AS late, count(*) AS n, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderkey > 1000 ORDER BY n DESC", None, "orders")
 
 
 def script_query(name: str, text: str, sql: str | None) -> None:

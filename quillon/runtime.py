@@ -21,14 +21,16 @@ MAX_BIG_KEYS = 1 << 16
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, notebooks) a folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    (tests, notebooks) may leave it unset and uses a folder of this machine.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
     folder = named or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
     sc.setCheckpointDir(folder)
     return folder

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,12 +26,29 @@ from quillon.frame import Frame
 from quillon.runtime import quoted
 
 
+def in_file_order(df: DataFrame, position: Column) -> Frame:
+    """Frame whose rows lie in the order of file names and of ``position`` within a file.
+
+    Spark reads the largest pieces first, so several files need the order said
+    in hidden columns; they are pruned where no order is asked for.  A single
+    file lies in order as it is.
+    """
+    if len(df.inputFiles()) < 2:
+        return Frame(df)
+    at = df.select("*", F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"), position.alias("__o2"))
+    return Frame(at, tuple((f"__o{i}", False, False) for i in range(3)))
+
+
 # --- CSV
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, delimiter: str = ",", null_values: Iterable[str] = (), columns: Iterable[str] = ()) -> Frame:
-    """CSV file or folder.  Without a schema types are inferred, which reads the data twice."""
-    reader = spark.read.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, delimiter: str = ",", null_values: Iterable[str] = (), columns: Iterable[str] = (), multi_line: bool = True) -> Frame:
+    """CSV file or folder.  Without a schema types are inferred, which reads the data twice.
+
+    ``multi_line``: quoted fields may hold line ends; a file is then read by one
+    task.  Without it large files are split.
+    """
+    reader = spark.read.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     nulls = list(null_values)
     if not nulls:
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -45,7 +62,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         kinds = inferred(text) if schema is None else {f.name: f.dataType for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields}
         df = text.select(*[F.col(quoted(c)).try_cast(kinds[c]).alias(c) for c in text.columns])
     names = list(columns)
-    return Frame(df.select(*[F.col(quoted(c)) for c in names]) if names else df)
+    f = in_file_order(df, F.monotonically_increasing_id())
+    return f.select(*names) if names else f
 
 
 def inferred(text: DataFrame) -> dict[str, T.DataType]:
@@ -65,7 +83,8 @@ def write_csv(f: Frame, path: str, delimiter: str = ",") -> None:
 
 
 def read_parquet(spark: SparkSession, path: str) -> Frame:
-    return Frame(spark.read.parquet(path))
+    df = spark.read.parquet(path)
+    return in_file_order(df, F.col("_metadata.row_index"))
 
 
 def write_parquet(f: Frame, path: str, compression: str = "snappy", row_group_bytes: int | None = None) -> None:
@@ -78,7 +97,7 @@ def write_parquet(f: Frame, path: str, compression: str = "snappy", row_group_by
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> Frame:
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return Frame(reader.json(path))
+    return in_file_order(reader.json(path), F.monotonically_increasing_id())
 
 
 def read_json(spark: SparkSession, path: str) -> Frame:
@@ -184,7 +203,7 @@ def write_ipc_stream(path: str, frames: list[Frame]) -> None:
     schema = _plain(to_arrow_schema(frames[0].to_df().schema))
     with pa.OSFile(path, "wb") as out, pa.ipc.new_stream(out, schema) as writer:
         for f in frames:
-            for b in _arrow_batches(f):
+            for b in arrow_batches(f):
                 writer.write_batch(b.cast(schema))
 
 
@@ -192,7 +211,7 @@ def _plain(schema: pa.Schema) -> pa.Schema:
     return schema.remove_metadata()
 
 
-def _arrow_batches(f: Frame) -> Iterator[pa.RecordBatch]:
+def arrow_batches(f: Frame) -> Iterator[pa.RecordBatch]:
     """Batches of a frame in row order, a partition at a time."""
     df = f.to_df(ordered=True)
 
@@ -211,7 +230,7 @@ def _arrow_batches(f: Frame) -> Iterator[pa.RecordBatch]:
 def _write(f: Frame, path: str, new) -> None:
     schema = _plain(to_arrow_schema(f.to_df().schema))
     with pa.OSFile(path, "wb") as out, new(out, schema) as writer:
-        for b in _arrow_batches(f):
+        for b in arrow_batches(f):
             writer.write_batch(b.cast(schema))
 
 

@@ -31,8 +31,8 @@ def describe(f: Frame) -> Frame:
     aggs = [c.cast("double").alias(f"a{i}") for i, c in enumerate(cells.values())]
     got = dict(zip(keys, f.df.agg(*aggs).first(), strict=True)) if aggs else {}
     for n in numeric:
-        for q, label in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
-            got[label, n] = ordering.quantile_frame(f.df.select(F.col(quoted(n)).alias("v")), "v", q).first()[0]
+        found = ordering.quantiles_frame(f.df.select(F.col(quoted(n)).alias("v")), "v", [0.25, 0.5, 0.75]).first()
+        got |= dict(zip([("25%", n), ("50%", n), ("75%", n)], found, strict=True))
     rows = []
     for i, s in enumerate(STATISTICS):
         row: list = [i, s]
