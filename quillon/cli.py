@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillon import introspect
 from quillon.frame import Frame, concat
 from quillon.runtime import quoted
-from quillon.script import Interpreter, transpile
+from quillon.script import Interpreter, prompt_loop, transpile
 from quillon.sources import files
 from quillon.sql import Session
 
@@ -72,8 +72,12 @@ def main(argv: list[str]) -> int:
     q.add_argument("target")
     q = sub.add_parser("cat")
     q.add_argument("paths", nargs="+")
-    for name in ("run", "transpile"):
-        sub.add_parser(name).add_argument("path")
+    sub.add_parser("transpile").add_argument("path")
+    q = sub.add_parser("run")
+    q.add_argument("path")
+    q.add_argument("--profile", action="store_true", help="print the time of every statement")
+    q.add_argument("--trace", action="store_true", help="print what each operator of the last frame did")
+    sub.add_parser("prompt")
     q = sub.add_parser("explain")
     q.add_argument("path")
     q.add_argument("--form", choices=("text", "tree", "mermaid"), default="text")
@@ -86,7 +90,12 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     s = Interpreter(spark, print)
     if a.command == "run":
-        s.run_file(a.path)
+        s.timing = a.profile
+        f = s.run_file(a.path)
+        if a.trace and f is not None:
+            print(introspect.format_traces(introspect.traced(f)))
+    elif a.command == "prompt":
+        prompt_loop(s)
     elif a.command == "explain":
         f = Interpreter(spark).run_file(a.path)
         print({"text": introspect.explain, "tree": introspect.explain_tree, "mermaid": introspect.mermaid}[a.form](f))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 if TYPE_CHECKING:
@@ -66,6 +67,63 @@ def mermaid(f: Frame) -> str:
     return "\n".join(lines)
 
 
+def graph(f: Frame) -> str:
+    """Plan as a Graphviz digraph; edges point where rows go."""
+    lines, path = ["digraph plan {", "  rankdir=BT; node [shape=box];"], []
+    for i, (depth, text) in enumerate(_nodes(f)):
+        label = text.replace("\\", "\\\\").replace('"', '\\"')
+        lines.append(f'  n{i} [label="{label}"];')
+        path = path[:depth]
+        if path:
+            lines.append(f"  n{i} -> n{path[-1]};")
+        path.append(i)
+    return "\n".join([*lines, "}"])
+
+
+def optimizer_passes(f: Frame) -> list[str]:
+    """Rules of the optimizer that ran for this plan, with their times and numbers of runs."""
+    executor = f.df.sparkSession._jvm.org.apache.spark.sql.catalyst.rules.RuleExecutor
+    executor.resetMetrics()
+    _query_execution(f).optimizedPlan()
+    return [line for line in executor.dumpTimeSpent().split("\n") if "catalyst" in line]
+
+
+@dataclass(frozen=True)
+class Trace:
+    """What one physical operator did: rows out and, where it counts them, its other metrics."""
+
+    depth: int
+    operator: str
+    rows: int
+    metrics: dict[str, int]
+
+
+def traced(f: Frame) -> list[Trace]:
+    """Run a frame without keeping its rows; metrics of every physical operator as it ran."""
+    root = _query_execution(f).executedPlan()
+    root.execute().count()
+    todo, out = [(0, root)], []
+    while todo:
+        depth, node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append((depth, node.executedPlan()))
+            continue
+        metrics = {}
+        entries = node.metrics().iterator()
+        while entries.hasNext():
+            entry = entries.next()
+            metrics[entry._1()] = entry._2().value()
+        inner = [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        out.append(Trace(depth, node.nodeName(), metrics.get("numOutputRows", 0), metrics))
+        todo += [(depth + 1, c) for c in reversed(inner)]
+    return out
+
+
+def format_traces(traces: list[Trace]) -> str:
+    return "\n".join(f"{'  ' * t.depth + t.operator:<60}{t.rows:>12} rows" + "".join(f"  {k}={v}" for k, v in t.metrics.items() if k != "numOutputRows" and v > 0) for t in traces)
+
+
 class Profiler:
     """Wall time of named steps; the steps inside Spark are in its own metrics."""
 

@@ -22,6 +22,7 @@ from quillon.expr import col
 from quillon.frame import Frame
 from quillon.plans.parse import parse, parse_predicate
 from quillon.sources import files
+from quillon.transpile import transpile  # noqa: F401
 
 
 class ScriptError(Exception):
@@ -238,8 +239,10 @@ def _size(s, rest): s.write(f"{s.frame.estimated_size()} bytes")
 def _null_count(s, rest): s.table(s.frame.null_count())
 @command("explain", "Logical and physical plan.")
 def _explain(s, rest): s.write(introspect.explain(s.frame))
-@command("explain_tree", "Plan as a tree.", "tree", "graph", "show_graph")
+@command("explain_tree", "Plan as a tree.", "tree")
 def _tree(s, rest): s.write(introspect.explain_tree(s.frame))
+@command("graph", "Plan as a Graphviz graph.", "show_graph")
+def _graph(s, rest): s.write(introspect.graph(s.frame))
 @command("mermaid", "Plan as a Mermaid flowchart.")
 def _mermaid(s, rest): s.write(introspect.mermaid(s.frame))
 
@@ -320,7 +323,7 @@ def _row_index(s, rest):
     s.focus = s.frame.with_row_index(w[0], int(w[1]) if len(w) > 1 else 0)
 
 
-@command("with <name> = <expression>", "Append a derived column.")
+@command("with <name> = <expression>", "Add a column computed by an expression.")
 def _with(s, rest):
     name, eq, text = rest.partition("=")
     if not eq or not name.strip():
@@ -391,7 +394,7 @@ for _op in ("sum", "mean", "min", "max", "all", "any"):
 def _timing(s, rest): s.timing = not s.timing
 @command("info", "Versions and uptime.")
 def _info(s, rest): s.write(f"Spark {s.spark.version}, {s.spark.sparkContext.master}, up {time.time() - s.began:.0f} s")
-@command("clear", "Clear the screen.")
+@command("clear", "Wipe the terminal.")
 def _clear(s, rest): s.write("\x1b[2J\x1b[H")
 @command("help", "List commands.")
 def _help(s, rest): s.write("\n".join(f"{c.signature:<44}{c.summary}" for c in COMMANDS.values()))
@@ -414,7 +417,22 @@ def _exit(s, rest):
     raise Quit
 
 
-def transpile(text: str) -> str:
-    """A script as a Python program with the same effect."""
-    lines = ["from pyspark.sql import SparkSession", "", "from quillon.script import Interpreter", "", "run = Interpreter(SparkSession.builder.getOrCreate(), print).run_line"]
-    return "\n".join([*lines, *[f"run({s!r})" for _, s in statements(text) if s not in ("exit", "quit")], ""])
+def prompt_loop(s: Interpreter, read: Callable[[str], str] = input) -> None:
+    """Read statements until the end of input or ``exit``; errors are printed and the loop goes on."""
+    held = ""
+    while True:
+        try:
+            line = strip_comment(read("... " if held else "> ")).rstrip()
+        except EOFError:
+            return
+        if line.endswith("\\"):
+            held += line[:-1] + " "
+            continue
+        for _, statement in statements(held + line):
+            try:
+                s.run_line(statement)
+            except Quit:
+                return
+            except Exception as e:  # noqa: BLE001
+                s.write(f"error: {e}")
+        held = ""

@@ -11,21 +11,25 @@ from quillon import cli
 from quillon.frame import Frame
 from quillon.sources.files import scan
 
-MAX_ROWS = 1000
+#: Rows of one answer; ``next`` then says where the following page begins.
+PAGE_ROWS = 1000
 
 
-def _rows(f: Frame) -> list[dict]:
-    """At most ``MAX_ROWS`` rows, for a tool's answer is read by a person or program at once."""
-    return json.loads(json.dumps([r.asDict(True) for r in f.head(MAX_ROWS).collect()], default=str))
+def _page(f: Frame, offset: int = 0) -> dict:
+    """Rows from ``offset`` on, and the offset of the next page or null."""
+    got = f.slice(offset, PAGE_ROWS + 1).collect()
+    rows = json.loads(json.dumps([r.asDict(True) for r in got[:PAGE_ROWS]], default=str))
+    return {"rows": rows, "next": offset + PAGE_ROWS if len(got) > PAGE_ROWS else None}
 
 
 TOOLS = {
     "schema": lambda spark, path: [{"name": n, "type": t} for n, t in scan(spark, path).dtypes],
-    "head": lambda spark, path, n=10: _rows(scan(spark, path).head(n)),
-    "describe": lambda spark, path: _rows(scan(spark, path).describe()),
-    "sql": lambda spark, query, paths: _rows(cli.sql(spark, query, *paths)),
+    "rows": lambda spark, path, offset=0: _page(scan(spark, path), offset),
+    "head": lambda spark, path, n=10, offset=0: _page(scan(spark, path).head(n), offset),
+    "describe": lambda spark, path: _page(scan(spark, path).describe()),
+    "sql": lambda spark, query, paths, offset=0: _page(cli.sql(spark, query, *paths), offset),
     "row_count": lambda spark, path: scan(spark, path).height(),
-    "null_counts": lambda spark, path: _rows(scan(spark, path).null_count())[0],
+    "null_counts": lambda spark, path: _page(scan(spark, path).null_count())["rows"][0],
 }
 
 

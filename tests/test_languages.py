@@ -99,7 +99,9 @@ def test_scripts(spark, tmp_path):
     with pytest.raises(ScriptError, match="script:2"):
         s.run("reset\nselect nope\nshow")
     assert statements('a \\\n b # c\n\n.d "x # y"') == [(1, "a   b"), (3, 'd "x # y"')] or [x for _, x in statements('a \\\n b # c\n\n.d "x # y"')] == ["a   b", 'd "x # y"']
-    assert "run('filter age > 1')" in transpile(".filter age > 1\nexit")
+    assert "f = f.filter((col('age') > lit(1)))" in transpile(".filter age > 1\nexit\nnonsense")
+    with pytest.raises(ValueError, match="line 2"):
+        transpile("reset\nnonsense")
 
 
 def test_more_commands(spark, sf):
@@ -137,9 +139,9 @@ def test_tools_and_typed_columns(spark, people, sf):
 
     path = f"{sf}/nation.parquet"
     assert tools.call(spark, "row_count", path=path) == 25 and tools.call(spark, "schema", path=path)[0] == {"name": "n_nationkey", "type": "int"}
-    assert len(tools.call(spark, "head", path=path, n=3)) == 3 and tools.call(spark, "null_counts", path=path)["n_name"] == 0
-    assert tools.call(spark, "sql", query="SELECT count(*) AS n FROM nation", paths=[path]) == [{"n": 25}]
-    assert {r["statistic"] for r in tools.call(spark, "describe", path=path)} >= {"mean", "75%"}
+    assert len(tools.call(spark, "head", path=path, n=3)["rows"]) == 3 and tools.call(spark, "null_counts", path=path)["n_name"] == 0
+    assert tools.call(spark, "sql", query="SELECT count(*) AS n FROM nation", paths=[path]) == {"rows": [{"n": 25}], "next": None}
+    assert {r["statistic"] for r in tools.call(spark, "describe", path=path)["rows"]} >= {"mean", "75%"}
     assert rows(people.filter(Int("age") > 15).select((Int("age") + 1).alias("x"), Str("name").str.upper().alias("u"))) == [(21, "B"), (31, "C")]
     with pytest.raises(TypeError):
         people.select(Float("age"))
