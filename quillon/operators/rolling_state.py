@@ -1,134 +1,226 @@
-"""Rolling totals over trailing periods, as a versioned daily state.
+"""Rolling totals over trailing periods, as a stored, versioned daily state.
 
-State: one row ``(entity, day, version, qty, n, total_a, total_b, ...)`` per
-entity and calendar day from its first to its last active day.  A day follows
-from the day before:
+State: one row ``(entity, day, qty, n, total_a, total_b, ..., until, version)``
+per entity and calendar day.  A day follows from the day before:
 
     total(day) = total(day - 1) + arrivals(day) - amounts(day - period)
 
-``build_state`` applies this over a whole history, ``advance_state`` to one
-further day by joining yesterday's totals with today's arrivals and the
-expiring day's amounts, and ``correct_state`` recomputes the dates that late or
-corrected amounts touch, as rows of a new version.  ``current`` reads the
-newest version of each row.  Rows are summed to days before any of this, so
-an entity is never larger than its calendar.
+``advance`` adds the next days: it joins the totals of the last known day with
+the arrivals of the new days and the amounts that expire in them; nothing
+older than the longest period is read.  A daily run adds one day, a first load
+some weeks at a time.  ``correct`` recomputes the dates that late or corrected
+amounts touch, as rows of a new version, and ``current`` reads the newest
+version of each row.
+
+The state lies in one table of the shared folder, bucketed by entity, so all of
+these run where the rows are, without a shuffle.  Rows are summed to days
+before any of this: an entity is never larger than its calendar.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import HOT_PIECES, HOT_SHARE, hot_values, piece_of
+from quillon.runtime import PIECE_ROWS, ensure_checkpoint_dir, with_pieces
+
+#: Rows for one bucket, and fewest and most buckets of a table.
+BUCKET_ROWS = 1 << 19
+BUCKETS = (8, 1 << 16)
+
+
+@contextmanager
+def _buckets_kept(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside use the buckets of every table they read."""
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+class Bucketed:
+    """A table of the shared folder, bucketed by entity; survives lost executors."""
 
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.name = spark, buckets, f"quillon_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark)}/tables/{self.name}"
+        self.empty = True
 
-def daily_amounts(df: DataFrame, entity: Column, day: Column, ident: str, fields: dict[str, Column], sums: dict[str, Column], share: float = HOT_SHARE) -> DataFrame:
-    """Sums per entity and day, repeats of a record counted once.
+    def append(self, rows: DataFrame) -> None:
+        with _buckets_kept(self.spark):
+            rows.write.format("parquet").bucketBy(self.buckets, "entity").mode("append").option("path", self.path).saveAsTable(self.name)
+        self.empty = False
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
+def buckets_for(rows: int) -> int:
+    return min(max(-(-rows // BUCKET_ROWS), BUCKETS[0]), BUCKETS[1])
+
+
+def daily_amounts(df: DataFrame, entity: Column, day: Column, ident: str, fields: dict[str, Column], sums: dict[str, Column], buckets: int, piece_rows: int = PIECE_ROWS) -> Bucketed:
+    """Sums per entity and day ``(entity, day, <sums>)``, repeats of a record counted once.
 
     ``fields`` are taken from each record, ``sums`` are bigint expressions over
     them to add up per day, null adding nothing.  Rows without entity, day or
     ``ident`` are left out.  A record is known by entity, day and ``ident``;
-    should repeats disagree, the smallest value of each field counts.  One
-    shuffle by (entity, day) removes repeats and sums; entities that hold a
-    large share of the rows are spread over pieces whose sums are then added.
+    should repeats disagree, the smallest value of each field counts.  Entities
+    with more than ``piece_rows`` rows are spread over pieces, whose sums, at
+    most one row a day and piece, are then added.
     """
     rows = df.select(entity.alias("entity"), day.cast("date").alias("day"), F.col(ident).alias("__id"), *[f.alias(n) for n, f in fields.items()])
     rows = rows.filter(F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("__id").isNotNull())
-    hot = hot_values(rows, "entity", share)
-
-    def once(d: DataFrame, *by: str) -> DataFrame:
-        records = d.repartition(*[F.col(c) for c in by]).groupBy(*by, "__id").agg(*[F.min(f).alias(f) for f in fields])
-        return records.groupBy(*by).agg(*[F.sum(s).alias(n) for n, s in sums.items()])
-
-    if not hot:
-        return once(rows, "entity", "day")
-    is_hot = F.col("entity").isin(hot)
-    light = once(rows.filter(~is_hot), "entity", "day")
-    heavy = once(rows.filter(is_hot).withColumn("__piece", piece_of("entity", hot, "__id", HOT_PIECES)), "entity", "day", "__piece")
-    return light.unionByName(heavy.groupBy("entity", "day").agg(*[F.sum(n).alias(n) for n in sums]))
-
-
-def build_state(daily: DataFrame, periods: tuple[int, ...] = (7, 30), version: int = 0) -> DataFrame:
-    """State of a history of daily amounts ``(entity, day, qty, n)``, one row per entity and day.
-
-    Each amount enters on its day and leaves ``period`` days later; the running
-    sum of what enters and leaves is yesterday's total plus today's change.
-    Days on which nothing enters or leaves carry the totals on.
+    rows = with_pieces(rows, ["entity"], "__id", piece_rows)
+    records = rows.repartition("entity", "__piece").groupBy("entity", "__piece", "day", "__id").agg(*[F.min(f).alias(f) for f in fields])
+    parts = records.groupBy("entity", "__piece", "day").agg(*[F.sum(s).alias(n) for n, s in sums.items()])
+    daily = parts.repartition(buckets, "entity").groupBy("entity", "day").agg(*[F.sum(n).alias(n) for n in sums])
+    out = Bucketed(df.sparkSession, buckets)
+    out.append(daily)
+    return out
+
+
+def _rolled(changes: DataFrame, periods: tuple[int, ...], last: Column, *extra: str) -> DataFrame:
+    """Dense rows from change points ``(entity, day, qty, n, c<period>..., until, <extra>...)``.
+
+    Each amount enters on its day and leaves ``period`` days later, so the
+    running sum of what enters and leaves is yesterday's total plus today's
+    change; days without change carry the totals on, up to ``last`` or
+    ``until``.  ``extra`` columns stay on their own day.
     """
-    qty = F.coalesce(F.col("qty"), F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
-    enter = daily.select("entity", "day", qty.alias("qty"), "n", *[qty.alias(f"c{p}") for p in periods], F.lit(True).alias("real"))
-    changes = enter
-    for p in periods:
-        changes = changes.unionAll(daily.select("entity", F.date_add("day", p).alias("day"), zero.alias("qty"), zero.alias("n"), *[(-qty if q == p else zero).alias(f"c{q}") for q in periods], F.lit(False).alias("real")))
-    # one shuffle by entity serves the sums, the running totals and the span
-    days = changes.repartition("entity").groupBy("entity", "day").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"), *[F.sum(f"c{p}").alias(f"c{p}") for p in periods], F.max("real").alias("real"))
+    days = changes.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in ("qty", "n", *[f"c{p}" for p in periods])], F.max("until").alias("until"), *[F.max(x).alias(x) for x in extra])
     by = Window.partitionBy("entity").orderBy("day")
-    whole = Window.partitionBy("entity")
     run = days.select(
-        "entity", "day", "qty", "n",
+        "entity", "day", "qty", "n", F.max("until").over(Window.partitionBy("entity")).alias("until"), *extra,
         *[F.sum(f"c{p}").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"total_{p}") for p in periods],
-        F.lead("day").over(by).alias("next"),
-        F.max(F.when(F.col("real"), F.col("day"))).over(whole).alias("last"),
-    ).filter(F.col("day") <= F.col("last"))
-    until = F.when(F.col("day") == F.col("last"), F.col("day")).otherwise(F.date_sub("next", 1))
-    spread = run.select("*", F.explode(F.sequence("day", F.least(until, F.col("last")))).alias("at"))
-    first = F.col("at") == F.col("day")
-    return spread.select(
-        "entity", F.col("at").alias("day"), F.lit(version).alias("version"),
-        F.when(first, F.col("qty")).otherwise(zero).alias("qty"), F.when(first, F.col("n")).otherwise(zero).alias("n"),
-        *[f"total_{p}" for p in periods],
+        F.lead("day").over(by).alias("__next"),
     )
+    end = F.least(last, F.coalesce(F.col("until"), last))
+    run = run.filter(F.col("day") <= end)
+    spread = run.select("*", F.explode(F.sequence("day", F.least(end, F.coalesce(F.date_sub("__next", 1), end)))).alias("__at"))
+    own = F.col("__at") == F.col("day")
+    return spread.select("entity", F.col("__at").alias("day"), F.when(own, F.col("qty")).otherwise(zero).alias("qty"), F.when(own, F.col("n")).otherwise(zero).alias("n"), *[f"total_{p}" for p in periods], "until", *[F.when(own, F.col(x)).alias(x) for x in extra])
 
 
-def current(state: DataFrame) -> DataFrame:
-    """Newest version of each (entity, day)."""
-    rest = [c for c in state.columns if c not in ("entity", "day")]
-    newest = state.groupBy("entity", "day").agg(F.max(F.struct("version", *[c for c in rest if c != "version"])).alias("s"))
-    return newest.select("entity", "day", *[F.col("s")[c].alias(c) for c in rest])
-
-
-def advance_state(state: DataFrame, day: str, arrivals: DataFrame, periods: tuple[int, ...] = (7, 30), version: int = 0) -> DataFrame:
-    """State rows of ``day``: every entity known yesterday or arriving today.
-
-    ``state`` must be current and hold the days back to ``day`` minus the
-    longest period, written to storage (each step reads it several times);
-    ``arrivals`` has ``(entity, qty, n)`` of the day.  Unlike in
-    ``build_state`` an entity goes on after its last active day, for whether it
-    will be active again isn't known yet.
-    """
-    today = F.lit(day).cast("date")
+def _entering(periods: tuple[int, ...], first: Column, last: Column) -> Column:
+    """Change points of an amount within ``first`` to ``last``: it enters on its
+    day, if that is not before ``first``, and leaves after each period."""
     zero = F.lit(0).cast("long")
-    got = lambda c: F.coalesce(F.col(c), zero)
-    out = state.filter(F.col("day") == F.date_sub(today, 1)).select("entity", *[F.col(f"total_{p}").alias(f"y{p}") for p in periods])
-    out = out.join(arrivals.select("entity", "qty", "n"), "entity", "full")
+    enters = F.col("day") >= first
+    point = lambda day, qty, n, c: F.struct(day.alias("day"), qty.alias("qty"), n.alias("n"), *[x.alias(f"c{p}") for p, x in zip(periods, c, strict=True)])
+    points = [F.when(enters, point(F.col("day"), F.col("qty"), F.col("n"), [F.col("qty")] * len(periods)))]
     for p in periods:
-        out = out.join(state.filter(F.col("day") == F.date_sub(today, p)).select("entity", F.col("qty").alias(f"x{p}")), "entity", "left")
-    return out.select("entity", today.alias("day"), F.lit(version).alias("version"), got("qty").alias("qty"), got("n").alias("n"), *[(got(f"y{p}") + got("qty") - got(f"x{p}")).alias(f"total_{p}") for p in periods])
-
+        day = F.date_add("day", p)
+        points.append(F.when((F.col("qty") != 0) & (day >= first) & (day <= last), point(day, zero, zero, [-F.col("qty") if q == p else zero for q in periods])))
+    return F.filter(F.array(*points), lambda x: x.isNotNull())
+
+
+class RollingState:
+    """Versioned daily state of many entities in a bucketed table."""
+
+    def __init__(self, spark: SparkSession, periods: tuple[int, ...] = (7, 30), buckets: int = BUCKETS[0]):
+        self.spark, self.periods = spark, periods
+        self.table = Bucketed(spark, buckets)
+        self.last: dt.date | None = None
+
+    def _append(self, rows: DataFrame, version: int) -> None:
+        kinds = {"entity": None, "day": "date", "qty": "long", "n": "long", **{f"total_{p}": "long" for p in self.periods}, "until": "date"}
+        self.table.append(rows.select(*[F.col(c).cast(k) if k else F.col(c) for c, k in kinds.items()], F.lit(version).cast("int").alias("version")))
+
+    def advance(self, arrivals: DataFrame, first: dt.date, last: dt.date, version: int = 0) -> None:
+        """Add the days ``first`` to ``last``, which must follow the last known day.
+
+        ``arrivals``: ``(entity, day, qty, n, until)``, one row per entity and
+        day; other days are not read.  Every entity known the day before or
+        arriving gets a row for each day from its first on, up to ``until`` if
+        that is known (a first load knows it, a daily run leaves it null and the
+        entity goes on).
+        """
+        if self.last is not None and first != self.last + dt.timedelta(days=1):
+            raise ValueError(f"the state ends on {self.last}")
+        a, b = F.lit(first), F.lit(last)
+        new = arrivals.filter(F.col("day").between(a, b)).select("entity", "until", F.explode(_entering(self.periods, a, b)).alias("c"))
+        if not self.table.empty:
+            # yesterday's totals, and the amounts that expire in these days
+            old = self.table.read().filter(F.col("day").between(first - dt.timedelta(days=max(self.periods)), self.last))
+            zero = F.lit(0).cast("long")
+            carry = F.struct(a.alias("day"), zero.alias("qty"), zero.alias("n"), *[F.col(f"total_{p}").alias(f"c{p}") for p in self.periods])
+            goes_on = (F.col("day") == F.lit(self.last)) & (F.col("until").isNull() | (F.col("until") >= a))
+            points = F.concat(_entering(self.periods, a, b), F.when(goes_on, F.array(carry)).otherwise(F.array().cast("array<" + _struct(self.periods) + ">")))
+            new = new.unionAll(old.filter(F.col("until").isNull() | (F.col("until") >= a)).select("entity", "until", F.explode(points).alias("c")))
+        with _buckets_kept(self.spark):
+            self._append(_rolled(new.select("entity", "until", "c.*"), self.periods, b), version)
+        self.last = last
+
+    def correct(self, corrections: DataFrame, version: int) -> None:
+        """Apply amounts ``(entity, day, qty, n)`` to add, negative to take away, any number of rows a day.
+
+        The dates from an entity's first corrected day on are recomputed from
+        the amounts back to the longest period before it; rows that change, and
+        those that fill a span that grew, are stored with ``version``.  A
+        correction never removes days, so the span of an entity doesn't shrink.
+        """
+        longest = max(self.periods)
+        totals = [f"total_{p}" for p in self.periods]
+        was = F.struct("qty", "n", *totals)
+        none = F.lit(None).cast("struct<qty:bigint,n:bigint," + ",".join(f"{t}:bigint" for t in totals) + ">")
+        old = current(self.table.read()).select("entity", "day", "qty", "n", was.alias("was"), F.lit(False).alias("fix"))
+        rows = old.unionAll(corrections.select("entity", "day", F.col("qty").cast("long"), F.col("n").cast("long"), none.alias("was"), F.lit(True).alias("fix")))
+        whole = Window.partitionBy("entity")
+        day_if = lambda c: F.when(c, F.col("day"))
+        rows = rows.select(
+            "*", F.min(day_if(F.col("fix"))).over(whole).alias("__from"), F.max(day_if(~F.col("fix"))).over(whole).alias("__end"), F.max("day").over(whole).alias("until"),
+        ).filter(F.col("__from").isNotNull())
+        # where the span grows at its end, the days between are new as well
+        since = F.least("__from", F.date_add("__end", 1))
+        near = rows.filter(F.col("day") >= F.date_sub(since, longest)).select("entity", "day", "qty", "n", "was", since.alias("since"), "until")
+        far = F.lit(dt.date(9999, 12, 31))
+        # a day of the old state is a change point of its own, for its old totals
+        points = near.select("entity", "until", "since", "was", F.col("day").alias("__own"), F.explode(_entering(self.periods, F.col("day"), far)).alias("c"))
+        changes = points.select("entity", "until", "since", "c.*", F.when(F.col("__own") == F.col("c.day"), F.col("was")).alias("was"))
+        new = _rolled(changes, self.periods, F.col("until"), "was", "since")
+        # filled days have no row of their own before and are new
+        new = new.withColumn("since", F.max("since").over(whole)).filter((F.col("day") >= F.col("since")) & ~F.col("was").eqNullSafe(F.struct("qty", "n", *totals)))
+        with _buckets_kept(self.spark):
+            self._append(new, version)
+
+    def current(self) -> DataFrame:
+        """Newest version of each (entity, day)."""
+        return current(self.table.read())
+
+
+def _struct(periods: tuple[int, ...]) -> str:
+    return "struct<day:date,qty:bigint,n:bigint," + ",".join(f"c{p}:bigint" for p in periods) + ">"
 
-def correct_state(state: DataFrame, corrections: DataFrame, version: int, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """New state rows of the dates that corrections touch.
 
-    ``corrections``: ``(entity, day, qty, n)`` to add, negative to take away,
-    any number of rows a day.  ``state`` must be current.  Only amounts from
-    the longest period before an entity's first corrected day on are read; the
-    rows that change, and those that fill a span that grew, come out with
-    ``version``.  Union them with the state and read it with ``current``.
-    A correction never removes days, so the span of an entity doesn't shrink.
-    """
-    longest = max(periods)
-    fixes = corrections.groupBy("entity", "day").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
-    reach = fixes.groupBy("entity").agg(F.min("day").alias("from_day"))
-    known = state.join(reach, "entity")
-    # where the span grows at its end, the days between are new as well
-    ends = known.groupBy("entity").agg(F.max("day").alias("last"))
-    reach = reach.join(ends, "entity", "left").select("entity", F.least("from_day", F.date_add("last", 1)).alias("from_day"))
-    old = state.join(reach, "entity").filter(F.col("day") >= F.date_sub("from_day", longest))
-    base = old.filter((F.col("n") != 0) | (F.col("qty") != 0)).select("entity", "day", "qty", "n")
-    amounts = base.unionAll(fixes.select("entity", "day", "qty", "n")).groupBy("entity", "day").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
-    totals = [f"total_{p}" for p in periods]
-    before = old.select("entity", "day", F.struct("qty", "n", *totals).alias("was"))
-    after = build_state(amounts, periods, version).join(reach, "entity").filter(F.col("day") >= F.col("from_day"))
-    changed = after.join(before, ["entity", "day"], "left").filter(~F.col("was").eqNullSafe(F.struct("qty", "n", *totals)))
-    return changed.select("entity", "day", "version", "qty", "n", *totals)
+def current(state: DataFrame) -> DataFrame:
+    """Newest version of each (entity, day)."""
+    rest = [c for c in state.columns if c not in ("entity", "day", "version")]
+    newest = state.groupBy("entity", "day").agg(F.max(F.struct("version", *rest)).alias("s"))
+    return newest.select("entity", "day", "s.version", *[F.col("s")[c].alias(c) for c in rest])
+
+
+def empty_state(spark: SparkSession, periods: tuple[int, ...] = (7, 30), entity: str = "string") -> DataFrame:
+    return spark.createDataFrame([], f"entity {entity}, day date, version int, qty long, n long, {', '.join(f'total_{p} long' for p in periods)}, until date")
+
+
+def day_blocks(days: list[dt.date], block_days: int) -> list[tuple[dt.date, dt.date]]:
+    """Consecutive stretches from the first to the last of sorted days, each of
+    ``block_days`` days or up to the next day that occurs."""
+    out: list[tuple[dt.date, dt.date]] = []
+    for i, d in enumerate(days):
+        if not out or d > out[-1][1]:
+            first = out[-1][1] + dt.timedelta(days=1) if out else d
+            out.append((first, max(d, first + dt.timedelta(days=block_days - 1))))
+        if i + 1 == len(days):
+            out[-1] = (out[-1][0], d)
+    return out

@@ -1,10 +1,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import rolling_state as rs
-from quillon.runtime import durable
 
 D = dt.date(2026, 3, 1)
 
@@ -24,8 +24,17 @@ def brute(amounts):
     return out
 
 
-def daily(spark, amounts):
-    return spark.createDataFrame([(e, day(d), q, 1) for (e, d), q in amounts.items()], "entity string, day date, qty long, n long")
+def daily(spark, amounts, until=True):
+    last = {e: max(d for x, d in amounts if x == e) for e, _ in amounts}
+    return spark.createDataFrame([(e, day(d), q, 1, day(last[e]) if until else None) for (e, d), q in amounts.items()], "entity string, day date, qty long, n long, until date")
+
+
+def loaded(spark, amounts, block, periods=(7, 30), until=True):
+    state = rs.RollingState(spark, periods, 2)
+    df = daily(spark, amounts, until).persist()
+    for first, last in rs.day_blocks(sorted({day(d) for _, d in amounts}), block):
+        state.advance(df, first, last)
+    return state
 
 
 def rows(state):
@@ -35,39 +44,51 @@ def rows(state):
     return out
 
 
-def test_build_with_quiet_days_and_gaps(spark):
+def test_days_follow_from_days_before(spark):
+    """Quiet days, gaps longer than the periods, blocks shorter and longer than the periods."""
     rng = random.Random(3)
     amounts = {(e, rng.randrange(120)): rng.randrange(-5, 50) for e in "abc" for _ in range(12)} | {("one", 5): 3, ("far", 0): 1, ("far", 400): 2}
-    assert rows(rs.build_state(daily(spark, amounts))) == brute(amounts)
-    assert rows(rs.build_state(daily(spark, {("a", 1): 1}).limit(0))) == {}
+    for block in (5, 28):
+        assert rows(loaded(spark, amounts, block).current()) == brute(amounts)
+
+
+def test_day_by_day_goes_on_without_an_end(spark):
+    amounts = {("a", 0): 5, ("a", 3): 7, ("b", 1): 2, ("a", 6): 1}
+    state = loaded(spark, amounts, 1, (2, 4), until=False)
+    state.advance(daily(spark, amounts).limit(0), day(7), day(7))
+    got = {(r["entity"], (r["day"] - D).days): (r["total_2"], r["total_4"]) for r in state.current().collect()}
+    total = lambda e, d, p: sum(q for (x, k), q in amounts.items() if x == e and d - p < k <= d)
+    assert got == {(e, d): (total(e, d, 2), total(e, d, 4)) for e, first in (("a", 0), ("b", 1)) for d in range(first, 8)}
+    with pytest.raises(ValueError, match="ends on"):
+        state.advance(daily(spark, amounts), day(9), day(9))
 
 
 def test_corrections_make_a_new_version(spark):
     rng = random.Random(4)
     for trial in range(2):
         amounts = {(e, rng.randrange(20, 90)): rng.randrange(1, 50) for e in "ab" for _ in range(8)}
-        fixes = {(e, rng.randrange(130)): rng.randrange(-5, 50) for e in "abnew"[trial:] for _ in range(3)}
-        state = rs.build_state(daily(spark, amounts)).persist()
-        new = rs.correct_state(state, daily(spark, fixes), 1).persist()
+        fixes = {(e, rng.randrange(130)): rng.randrange(-5, 50) for e in ("a", "b", "new")[trial:] for _ in range(3)}
+        state = loaded(spark, amounts, 28)
+        old = rows(state.current())
+        state.correct(daily(spark, fixes), 1)
         whole = dict(amounts)
         for k, v in fixes.items():
             whole[k] = whole.get(k, 0) + v
-        assert rows(rs.current(state.unionByName(new))) == brute(whole)
+        assert rows(state.current()) == brute(whole)
         # only dates in reach of a correction, or new ones, are written again
-        old = rows(state)
-        for (e, d), _ in rows(new).items():
+        new = [(r["entity"], r["day"]) for r in state.table.read().filter("version = 1").collect()]
+        for e, d in new:
             assert (e, d) not in old or any(x == e and 0 <= (d - day(k)).days < 30 for x, k in fixes)
 
 
-def test_advance_day_by_day_equals_build(spark):
-    amounts = {("a", 0): 5, ("a", 3): 7, ("b", 1): 2, ("a", 6): 1, ("b", 6): 4}
-    state = durable(rs.build_state(daily(spark, {("a", 0): 5}), (2, 4)))
-    for d in range(1, 7):
-        arrivals = spark.createDataFrame([(e, q, 1) for (e, x), q in amounts.items() if x == d], "entity string, qty long, n long")
-        state = durable(state.unionByName(rs.advance_state(state, str(day(d)), arrivals, (2, 4))))
-    whole = {(r["entity"], r["day"]): (r["total_2"], r["total_4"]) for r in rs.build_state(daily(spark, amounts), (2, 4)).collect()}
-    got = {(r["entity"], r["day"]): (r["total_2"], r["total_4"]) for r in state.collect()}
-    assert {k: got[k] for k in whole} == whole
+def test_stored_state_is_read_without_a_shuffle(spark):
+    state = loaded(spark, {("a", 1): 1, ("b", 2): 2}, 28)
+    assert "Exchange" not in state.current()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_day_blocks():
+    assert rs.day_blocks([], 7) == []
+    assert rs.day_blocks([day(0), day(3), day(9), day(10), day(400)], 7) == [(day(0), day(6)), (day(7), day(13)), (day(14), day(400))]
 
 
 def test_daily_amounts_count_records_once_and_split_hot_entities(spark):
@@ -80,6 +101,6 @@ def test_daily_amounts_count_records_once_and_split_hot_entities(spark):
         if None not in (i, t, s):
             n, total = want.get((s, t.date()), (0, 0))
             want[s, t.date()] = (n + 1, total + (q or 0))
-    for share in (0.01, 0.2, 2.0):
-        got = rs.daily_amounts(df, F.col("s"), F.col("ts"), "id", {"q": F.col("q")}, {"qty": F.coalesce("q", F.lit(0)), "n": F.lit(1)}, share)
+    for piece_rows in (10, 10**6):
+        got = rs.daily_amounts(df, F.col("s"), F.col("ts"), "id", {"q": F.col("q")}, {"qty": F.coalesce("q", F.lit(0)), "n": F.lit(1)}, 2, piece_rows).read()
         assert {(r["entity"], r["day"]): (r["n"], r["qty"]) for r in got.collect()} == want
