@@ -41,6 +41,15 @@ SELECT trade_id, 'price' FROM j WHERE NOT no_a AND NOT no_b AND pa IS DISTINCT F
 SELECT trade_id, 'qty' FROM j WHERE NOT no_a AND NOT no_b AND qa IS DISTINCT FROM qb"""
 
 
+# texts of values as they are stored; NaN and large numbers are spelt differently
+_TEXT = "CASE WHEN isnan({0}) THEN 'NaN' WHEN {0} <> 0 AND abs({0}) >= 10000000 THEN regexp_replace(CAST({0} / 10 ** floor(log10(abs({0}))) AS VARCHAR), '$', 'E' || CAST(floor(log10(abs({0}))) AS INTEGER)) ELSE CAST({0} AS VARCHAR) END"
+_P1_ALL = f"""
+WITH d AS ({_P1}), a AS ({_ONCE.format('trades')}), b AS ({_ONCE.format('trades_v2')})
+SELECT d.trade_id, what, CASE what WHEN 'ts' THEN CAST(a.ts AS VARCHAR) WHEN 'price' THEN {_TEXT.format('a.price')} WHEN 'qty' THEN CAST(a.qty AS VARCHAR) END AS left_value,
+  CASE what WHEN 'ts' THEN CAST(b.ts AS VARCHAR) WHEN 'price' THEN {_TEXT.format('b.price')} WHEN 'qty' THEN CAST(b.qty AS VARCHAR) END AS right_value
+FROM d LEFT JOIN a ON a.trade_id = d.trade_id LEFT JOIN b ON b.trade_id = d.trade_id"""
+
+
 # --- p3: a few keys that hold most records
 
 
@@ -246,6 +255,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": _P1,
+    "p1_differences": _P1_ALL,
     "p3_found": _P3,
     "p3_totals": _P3_TOTALS,
     "p5_found": _P5,

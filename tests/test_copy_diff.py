@@ -48,21 +48,34 @@ def test_string_keys_and_long_texts(spark):
     assert found(spark, a, b, "k", s, ("v",)) == [("", "v"), ("k77", "v"), ("n", "v")]
 
 
-def test_shuffle_instead_of_broadcast_gives_the_same(spark, monkeypatch):
+def test_a_bitmap_of_any_size_gives_the_same(spark):
     rng = random.Random(5)
-    a = [(i, T0, float(rng.randrange(9)), rng.randrange(9), "") for i in range(-300, 900)]
+    a = [(i, T0, float(rng.randrange(9)), rng.randrange(9), "") for i in range(-300, 9000)]
     b = [(i, t, p + (i % 97 == 0), q + (i % 89 == 0), n) for i, t, p, q, n in a if i % 83]
-    want = found(spark, a, b)
-    assert len(want) > 20
-    monkeypatch.setattr(copy_diff, "MAX_BITMAP_BYTES", 0)
-    assert found(spark, a, b) == want
     brute = {(i, "only_a") for i, *_ in a if not i % 83} | {(r[0], "price") for r in b if r[0] % 97 == 0} | {(r[0], "qty") for r in b if r[0] % 89 == 0}
-    assert set(want) == brute
+    for k in ({}, {"max_words": 1}, {"levels": (3,)}, {"levels": (6, 2, 0), "max_words": 3}):
+        assert set(found(spark, a, b, **k)) == brute
 
 
-def test_only_unequal_buckets_are_joined(spark):
+def test_composite_keys(spark):
+    s = "g string, i long, v long"
+    a = [(g, i, i) for g in ("", "x", "y") for i in range(100)] + [(None, 1, 1), ("x", None, 1)]
+    b = [(g, i, i + ((g, i) == ("y", 7))) for g, i, _ in a if g is not None and (g, i) != ("x", 3)] + [("x", None, 1), ("z", 1, 1)]
+    out = diff_copies(spark.createDataFrame(a, s), spark.createDataFrame(b, s), ["g", "i"], ["v"]).collect()
+    assert sorted(tuple(r) for r in out) == [("x", 3, "only_left", None, None), ("y", 7, "v", "7", "8"), ("z", 1, "only_right", None, None)]
+
+
+def test_only_unequal_buckets_are_read_again(spark, tmp_path):
     a = spark.range(10_000).selectExpr("id", "id * 2 AS v")
     b = a.selectExpr("id", "CASE WHEN id = 4242 THEN -1 ELSE v END AS v")
-    a, b = (copy_diff.plain(d, "id", ["v"]) for d in (a, b))
-    cells = copy_diff.unequal_buckets(a, b, [None], copy_diff.key_bucket(a, b, 3)).collect()
+    p, q = (copy_diff.plain(d, ["id"], ["v"]) for d in (a, b))
+    coarse, fine = copy_diff.key_buckets(p, q, 1)
+    cells = copy_diff.unequal_buckets(p, q, [None], fine).collect()
     assert [(r["bucket"], r["f_key"], r["f_0"]) for r in cells] == [(4242 >> 3, False, True)]
+    words = copy_diff.bitmap(p, q, [None], coarse, 64)
+    assert copy_diff.marked(p, words, coarse, 1, 64).count() == 8192
+    # one shuffle, of the rows that are compared
+    a.write.parquet(str(tmp_path / "a"))
+    b.write.parquet(str(tmp_path / "b"))
+    plan = diff_copies(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")), "id", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
