@@ -60,7 +60,7 @@ def test_a_bitmap_of_any_size_gives_the_same(spark):
 def test_composite_keys(spark):
     s = "g string, i long, v long"
     a = [(g, i, i) for g in ("", "x", "y") for i in range(100)] + [(None, 1, 1), ("x", None, 1)]
-    b = [(g, i, i + ((g, i) == ("y", 7))) for g, i, _ in a if g is not None and (g, i) != ("x", 3)] + [("x", None, 1), ("z", 1, 1)]
+    b = [(g, i, i + ((g, i) == ("y", 7))) for g, i, _ in a if g is not None and i is not None and (g, i) != ("x", 3)] + [("x", None, 1), ("z", 1, 1)]
     out = diff_copies(spark.createDataFrame(a, s), spark.createDataFrame(b, s), ["g", "i"], ["v"]).collect()
     assert sorted(tuple(r) for r in out) == [("x", 3, "only_left", None, None), ("y", 7, "v", "7", "8"), ("z", 1, "only_right", None, None)]
 
