@@ -12,9 +12,10 @@ some weeks at a time.  ``correct`` recomputes the dates that late or corrected
 amounts touch, as rows of a new version, and ``current`` reads the newest
 version of each row.
 
-The state lies in one table of the shared folder, bucketed by entity, so all of
-these run where the rows are, without a shuffle.  Rows are summed to days
-before any of this: an entity is never larger than its calendar.
+Arrivals, corrections and state lie in one table of the shared folder, bucketed
+by entity: once staged there, all of these run where the rows are, without a
+shuffle.  Rows are summed to days before any of this: an entity is never larger
+than its calendar.
 """
 
 from __future__ import annotations
@@ -52,12 +53,10 @@ class Bucketed:
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.name = spark, buckets, f"quillon_{uuid.uuid4().hex}"
         self.path = f"{ensure_checkpoint_dir(spark)}/tables/{self.name}"
-        self.empty = True
 
     def append(self, rows: DataFrame) -> None:
         with _buckets_kept(self.spark):
             rows.write.format("parquet").bucketBy(self.buckets, "entity").mode("append").option("path", self.path).saveAsTable(self.name)
-        self.empty = False
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -67,25 +66,21 @@ def buckets_for(rows: int) -> int:
     return min(max(-(-rows // BUCKET_ROWS), BUCKETS[0]), BUCKETS[1])
 
 
-def daily_amounts(df: DataFrame, entity: Column, day: Column, ident: str, fields: dict[str, Column], sums: dict[str, Column], buckets: int, piece_rows: int = PIECE_ROWS) -> Bucketed:
-    """Sums per entity and day ``(entity, day, <sums>)``, repeats of a record counted once.
+def partial_amounts(df: DataFrame, entity: Column, day: Column, ident: str, fields: dict[str, Column], sums: dict[str, Column], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Sums per entity, day and piece ``(entity, day, <sums>)``, repeats of a record counted once.
 
     ``fields`` are taken from each record, ``sums`` are bigint expressions over
     them to add up per day, null adding nothing.  Rows without entity, day or
     ``ident`` are left out.  A record is known by entity, day and ``ident``;
     should repeats disagree, the smallest value of each field counts.  Entities
-    with more than ``piece_rows`` rows are spread over pieces, whose sums, at
-    most one row a day and piece, are then added.
+    with more than ``piece_rows`` rows are spread over pieces, of which each
+    day then has at most one row each, to be added by ``RollingState.stage``.
     """
     rows = df.select(entity.alias("entity"), day.cast("date").alias("day"), F.col(ident).alias("__id"), *[f.alias(n) for n, f in fields.items()])
     rows = rows.filter(F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("__id").isNotNull())
     rows = with_pieces(rows, ["entity"], "__id", piece_rows)
     records = rows.repartition("entity", "__piece").groupBy("entity", "__piece", "day", "__id").agg(*[F.min(f).alias(f) for f in fields])
-    parts = records.groupBy("entity", "__piece", "day").agg(*[F.sum(s).alias(n) for n, s in sums.items()])
-    daily = parts.repartition(buckets, "entity").groupBy("entity", "day").agg(*[F.sum(n).alias(n) for n in sums])
-    out = Bucketed(df.sparkSession, buckets)
-    out.append(daily)
-    return out
+    return records.groupBy("entity", "__piece", "day").agg(*[F.sum(s).alias(n) for n, s in sums.items()]).drop("__piece")
 
 
 def _rolled(changes: DataFrame, periods: tuple[int, ...], last: Column, *extra: str) -> DataFrame:
@@ -111,7 +106,7 @@ def _rolled(changes: DataFrame, periods: tuple[int, ...], last: Column, *extra:
     return spread.select("entity", F.col("__at").alias("day"), F.when(own, F.col("qty")).otherwise(zero).alias("qty"), F.when(own, F.col("n")).otherwise(zero).alias("n"), *[f"total_{p}" for p in periods], "until", *[F.when(own, F.col(x)).alias(x) for x in extra])
 
 
-def _entering(periods: tuple[int, ...], first: Column, last: Column) -> Column:
+def _entering(periods: tuple[int, ...], first: Column, last: Column, *more: Column) -> Column:
     """Change points of an amount within ``first`` to ``last``: it enters on its
     day, if that is not before ``first``, and leaves after each period."""
     zero = F.lit(0).cast("long")
@@ -121,48 +116,75 @@ def _entering(periods: tuple[int, ...], first: Column, last: Column) -> Column:
     for p in periods:
         day = F.date_add("day", p)
         points.append(F.when((F.col("qty") != 0) & (day >= first) & (day <= last), point(day, zero, zero, [-F.col("qty") if q == p else zero for q in periods])))
-    return F.filter(F.array(*points), lambda x: x.isNotNull())
+    return F.filter(F.array(*points, *more), lambda x: x.isNotNull())
 
 
 class RollingState:
-    """Versioned daily state of many entities in a bucketed table."""
+    """Versioned daily state of many entities in a bucketed table.
+
+    Rows of version v >= 0 are state; the amounts it is made from are staged
+    beside it as version -1 - v.
+    """
 
     def __init__(self, spark: SparkSession, periods: tuple[int, ...] = (7, 30), buckets: int = BUCKETS[0]):
         self.spark, self.periods = spark, periods
+        self.totals = [f"total_{p}" for p in periods]
         self.table = Bucketed(spark, buckets)
         self.last: dt.date | None = None
 
-    def _append(self, rows: DataFrame, version: int) -> None:
-        kinds = {"entity": None, "day": "date", "qty": "long", "n": "long", **{f"total_{p}": "long" for p in self.periods}, "until": "date"}
-        self.table.append(rows.select(*[F.col(c).cast(k) if k else F.col(c) for c, k in kinds.items()], F.lit(version).cast("int").alias("version")))
+    def _append(self, rows: DataFrame, version: Column) -> None:
+        kinds = {"entity": None, "day": "date", "qty": "long", "n": "long", **dict.fromkeys(self.totals, "long"), "until": "date"}
+        self.table.append(rows.select(*[F.col(c).cast(k) if k else F.col(c) for c, k in kinds.items()], version.cast("int").alias("version")))
+
+    def stage(self, amounts: DataFrame, ends_known: bool = False) -> None:
+        """Take in amounts ``(entity, day, version, qty, n)``, any number of rows a day.
 
-    def advance(self, arrivals: DataFrame, first: dt.date, last: dt.date, version: int = 0) -> None:
+        Version 0 are arrivals, each higher one corrections to be applied as
+        that version.  ``ends_known``: these are all arrivals there will be (a
+        first load), so an entity's state ends on its last day; else it goes on.
+        """
+        summed = amounts.repartition(self.table.buckets, "entity").groupBy("entity", "day", "version").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
+        none = F.lit(None).cast("long")
+        end = F.max(F.when(F.col("version") == 0, F.col("day"))).over(Window.partitionBy("entity")) if ends_known else F.lit(None)
+        self._append(summed.select("*", *[none.alias(t) for t in self.totals], end.alias("until")), -1 - F.col("version"))
+
+    def staged_days(self, version: int = 0) -> list[dt.date]:
+        """Days with staged amounts, sorted: at most the days of the calendar."""
+        rows = self.table.read().filter(F.col("version") == -1 - version)
+        return [r["day"] for r in rows.select("day").distinct().orderBy("day").collect()]
+
+    def _days(self, rows: DataFrame) -> DataFrame:
+        """``(entity, day, s, qty, n, until)``: newest state row of each day, and what is staged for it."""
+        held = F.struct("version", "qty", "n", *self.totals, "until")
+        staged = F.col("version") < 0
+        return rows.groupBy("entity", "day").agg(
+            F.max(F.when(~staged, held)).alias("s"), F.sum(F.when(staged, F.coalesce("qty", F.lit(0)))).alias("qty"), F.sum(F.when(staged, F.coalesce("n", F.lit(0)))).alias("n"), F.max("until").alias("until")
+        )
+
+    def advance(self, first: dt.date, last: dt.date, version: int = 0) -> None:
         """Add the days ``first`` to ``last``, which must follow the last known day.
 
-        ``arrivals``: ``(entity, day, qty, n, until)``, one row per entity and
-        day; other days are not read.  Every entity known the day before or
-        arriving gets a row for each day from its first on, up to ``until`` if
-        that is known (a first load knows it, a daily run leaves it null and the
-        entity goes on).
+        Every entity known the day before or arriving gets a row for each day
+        from its first on.  Read are the staged arrivals of these days, the
+        totals of the day before and the amounts that expire in these days.
         """
         if self.last is not None and first != self.last + dt.timedelta(days=1):
             raise ValueError(f"the state ends on {self.last}")
         a, b = F.lit(first), F.lit(last)
-        new = arrivals.filter(F.col("day").between(a, b)).select("entity", "until", F.explode(_entering(self.periods, a, b)).alias("c"))
-        if not self.table.empty:
-            # yesterday's totals, and the amounts that expire in these days
-            old = self.table.read().filter(F.col("day").between(first - dt.timedelta(days=max(self.periods)), self.last))
-            zero = F.lit(0).cast("long")
-            carry = F.struct(a.alias("day"), zero.alias("qty"), zero.alias("n"), *[F.col(f"total_{p}").alias(f"c{p}") for p in self.periods])
-            goes_on = (F.col("day") == F.lit(self.last)) & (F.col("until").isNull() | (F.col("until") >= a))
-            points = F.concat(_entering(self.periods, a, b), F.when(goes_on, F.array(carry)).otherwise(F.array().cast("array<" + _struct(self.periods) + ">")))
-            new = new.unionAll(old.filter(F.col("until").isNull() | (F.col("until") >= a)).select("entity", "until", F.explode(points).alias("c")))
+        known = (F.col("version") >= 0) & (F.col("day") >= F.lit(first - dt.timedelta(days=max(self.periods)))) & (F.col("day") < a)
+        arriving = (F.col("version") == -1 - version) & F.col("day").between(a, b)
+        rows = self.table.read().filter((known & (F.col("until").isNull() | (F.col("until") >= a))) | arriving)
+        days = self._days(rows)
+        amounts = days.select("entity", "day", "until", *[F.coalesce(F.col(f"s.{c}"), F.col(c), F.lit(0)).alias(c) for c in ("qty", "n")], *[F.col(f"s.{t}").alias(t) for t in self.totals])
+        zero = F.lit(0).cast("long")
+        carry = F.struct(a.alias("day"), zero.alias("qty"), zero.alias("n"), *[F.col(t).alias(f"c{p}") for p, t in zip(self.periods, self.totals, strict=True)])
+        points = _entering(self.periods, a, b, F.when(F.col("day") == F.date_sub(a, 1), carry))
         with _buckets_kept(self.spark):
-            self._append(_rolled(new.select("entity", "until", "c.*"), self.periods, b), version)
+            self._append(_rolled(amounts.select("entity", "until", F.explode(points).alias("c")).select("entity", "until", "c.*"), self.periods, b), F.lit(version))
         self.last = last
 
-    def correct(self, corrections: DataFrame, version: int) -> None:
-        """Apply amounts ``(entity, day, qty, n)`` to add, negative to take away, any number of rows a day.
+    def correct(self, version: int) -> None:
+        """Apply the amounts staged as ``version``, negative ones to take away.
 
         The dates from an entity's first corrected day on are recomputed from
         the amounts back to the longest period before it; rows that change, and
@@ -170,30 +192,40 @@ class RollingState:
         correction never removes days, so the span of an entity doesn't shrink.
         """
         longest = max(self.periods)
-        totals = [f"total_{p}" for p in self.periods]
-        was = F.struct("qty", "n", *totals)
-        none = F.lit(None).cast("struct<qty:bigint,n:bigint," + ",".join(f"{t}:bigint" for t in totals) + ">")
-        old = current(self.table.read()).select("entity", "day", "qty", "n", was.alias("was"), F.lit(False).alias("fix"))
-        rows = old.unionAll(corrections.select("entity", "day", F.col("qty").cast("long"), F.col("n").cast("long"), none.alias("was"), F.lit(True).alias("fix")))
+        days = self._days(self.table.read().filter((F.col("version") >= 0) | (F.col("version") == -1 - version)))
+        days = days.select(
+            "entity", "day", *[(F.coalesce(F.col(f"s.{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("qty", "n")],
+            F.when(F.col("s").isNotNull(), F.struct("s.qty", "s.n", *[f"s.{t}" for t in self.totals])).alias("was"), F.col("qty").isNotNull().alias("fix"),
+        )
         whole = Window.partitionBy("entity")
         day_if = lambda c: F.when(c, F.col("day"))
-        rows = rows.select(
-            "*", F.min(day_if(F.col("fix"))).over(whole).alias("__from"), F.max(day_if(~F.col("fix"))).over(whole).alias("__end"), F.max("day").over(whole).alias("until"),
+        days = days.select(
+            "*", F.min(day_if(F.col("fix"))).over(whole).alias("__from"), F.max(day_if(F.col("was").isNotNull())).over(whole).alias("__end"), F.max("day").over(whole).alias("until"),
         ).filter(F.col("__from").isNotNull())
         # where the span grows at its end, the days between are new as well
         since = F.least("__from", F.date_add("__end", 1))
-        near = rows.filter(F.col("day") >= F.date_sub(since, longest)).select("entity", "day", "qty", "n", "was", since.alias("since"), "until")
+        near = days.filter(F.col("day") >= F.date_sub(since, longest)).select("entity", "day", "qty", "n", "was", since.alias("since"), "until")
         far = F.lit(dt.date(9999, 12, 31))
         # a day of the old state is a change point of its own, for its old totals
         points = near.select("entity", "until", "since", "was", F.col("day").alias("__own"), F.explode(_entering(self.periods, F.col("day"), far)).alias("c"))
         changes = points.select("entity", "until", "since", "c.*", F.when(F.col("__own") == F.col("c.day"), F.col("was")).alias("was"))
         new = _rolled(changes, self.periods, F.col("until"), "was", "since")
         # filled days have no row of their own before and are new
-        new = new.withColumn("since", F.max("since").over(whole)).filter((F.col("day") >= F.col("since")) & ~F.col("was").eqNullSafe(F.struct("qty", "n", *totals)))
+        new = new.withColumn("since", F.max("since").over(whole)).filter((F.col("day") >= F.col("since")) & ~F.col("was").eqNullSafe(F.struct("qty", "n", *self.totals)))
         with _buckets_kept(self.spark):
-            self._append(new, version)
+            self._append(new, F.lit(version))
 
     def current(self) -> DataFrame:
+        """Newest version of each (entity, day): ``(entity, day, version, qty, n, <totals>)``."""
+        return current(self.table.read().filter(F.col("version") >= 0).drop("until"))
+
+
+def current(self) -> DataFrame:
+        """Newest version of each (entity, day)."""
+        return current(self.table.read())
+
+
+def current(self) -> DataFrame:
         """Newest version of each (entity, day)."""
         return current(self.table.read())
 
@@ -209,10 +241,6 @@ def current(state: DataFrame) -> DataFrame:
     return newest.select("entity", "day", "s.version", *[F.col("s")[c].alias(c) for c in rest])
 
 
-def empty_state(spark: SparkSession, periods: tuple[int, ...] = (7, 30), entity: str = "string") -> DataFrame:
-    return spark.createDataFrame([], f"entity {entity}, day date, version int, qty long, n long, {', '.join(f'total_{p} long' for p in periods)}, until date")
-
-
 def day_blocks(days: list[dt.date], block_days: int) -> list[tuple[dt.date, dt.date]]:
     """Consecutive stretches from the first to the last of sorted days, each of
     ``block_days`` days or up to the next day that occurs."""

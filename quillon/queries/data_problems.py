@@ -137,28 +137,20 @@ def _rolling(spark: SparkSession, sf: str) -> DataFrame:
     after day block; later arrivals are applied to it as corrections of version 1.
     """
     trades = table(spark, sf, "trades_v2")
-    buckets = rolling_state.buckets_for(trades.count())
     day = F.col("ts").cast("date")
     # a record delivered on time and again later is on time: the minimum counts
     fields = {"qty": F.col("qty"), "late": F.coalesce(F.col("recv_ts").cast("date") > day, F.lit(False)).cast("long")}
     on_time, qty = 1 - F.col("late"), F.coalesce(F.col("qty"), F.lit(0).cast("long"))
     sums = {"qty": qty * on_time, "n": on_time, "late_qty": qty * F.col("late"), "late_n": F.col("late")}
-    daily = rolling_state.daily_amounts(trades, clean("symbol", "upper"), day, "trade_id", fields, sums, buckets).read()
-    state = rolling_state.RollingState(spark, (7, 30), buckets)
-    arrivals = daily.filter("n > 0").select("entity", "day", "qty", "n", F.max("day").over(Window.partitionBy("entity")).alias("until"))
-    days = [r["day"] for r in daily.filter("n > 0").select("day").distinct().orderBy("day").collect()]  # a row a calendar day
-    for first, last in rolling_state.day_blocks(days, LOAD_DAYS):
-        state.advance(arrivals, first, last)
-    fixes = daily.filter("late_n > 0").select("entity", "day", F.col("late_qty").alias("qty"), F.col("late_n").alias("n"))
-    if days:
-        state.correct(fixes, version=1)
-        return state.current()
-    # nothing arrived on time: the late trades are the first load
-    late = fixes.withColumn("until", F.max("day").over(Window.partitionBy("entity")))
-    days = [r["day"] for r in fixes.select("day").distinct().orderBy("day").collect()]
-    for first, last in rolling_state.day_blocks(days, LOAD_DAYS):
-        state.advance(late, first, last)
-    return state.current() if days else rolling_state.empty_state(spark)
+    parts = rolling_state.partial_amounts(trades, clean("symbol", "upper"), day, "trade_id", fields, sums)
+    kind = lambda version, q, n: F.when(F.col(n) > 0, F.struct(F.lit(version).alias("version"), F.col(q).alias("qty"), F.col(n).alias("n")))
+    both = F.filter(F.array(kind(0, "qty", "n"), kind(1, "late_qty", "late_n")), lambda x: x.isNotNull())
+    state = rolling_state.RollingState(spark, (7, 30), rolling_state.buckets_for(trades.count()))
+    state.stage(parts.select("entity", "day", F.explode(both).alias("a")).select("entity", "day", "a.*"), ends_known=True)
+    for first, last in rolling_state.day_blocks(state.staged_days(), LOAD_DAYS):
+        state.advance(first, last)
+    state.correct(version=1)
+    return state.current()
 
 
 def p6_rolling(spark: SparkSession, sf: str) -> DataFrame:

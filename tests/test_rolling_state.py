@@ -24,16 +24,15 @@ def brute(amounts):
     return out
 
 
-def daily(spark, amounts, until=True):
-    last = {e: max(d for x, d in amounts if x == e) for e, _ in amounts}
-    return spark.createDataFrame([(e, day(d), q, 1, day(last[e]) if until else None) for (e, d), q in amounts.items()], "entity string, day date, qty long, n long, until date")
+def staged(spark, amounts, version=0):
+    return spark.createDataFrame([(e, day(d), version, q, 1) for (e, d), q in amounts.items()], "entity string, day date, version int, qty long, n long")
 
 
-def loaded(spark, amounts, block, periods=(7, 30), until=True):
+def loaded(spark, amounts, block, periods=(7, 30), ends_known=True):
     state = rs.RollingState(spark, periods, 2)
-    df = daily(spark, amounts, until).persist()
-    for first, last in rs.day_blocks(sorted({day(d) for _, d in amounts}), block):
-        state.advance(df, first, last)
+    state.stage(staged(spark, amounts), ends_known)
+    for first, last in rs.day_blocks(state.staged_days(), block):
+        state.advance(first, last)
     return state
 
 
@@ -54,13 +53,13 @@ def test_days_follow_from_days_before(spark):
 
 def test_day_by_day_goes_on_without_an_end(spark):
     amounts = {("a", 0): 5, ("a", 3): 7, ("b", 1): 2, ("a", 6): 1}
-    state = loaded(spark, amounts, 1, (2, 4), until=False)
-    state.advance(daily(spark, amounts).limit(0), day(7), day(7))
+    state = loaded(spark, amounts, 1, (2, 4), ends_known=False)
+    state.advance(day(7), day(7))
     got = {(r["entity"], (r["day"] - D).days): (r["total_2"], r["total_4"]) for r in state.current().collect()}
     total = lambda e, d, p: sum(q for (x, k), q in amounts.items() if x == e and d - p < k <= d)
     assert got == {(e, d): (total(e, d, 2), total(e, d, 4)) for e, first in (("a", 0), ("b", 1)) for d in range(first, 8)}
     with pytest.raises(ValueError, match="ends on"):
-        state.advance(daily(spark, amounts), day(9), day(9))
+        state.advance(day(9), day(9))
 
 
 def test_corrections_make_a_new_version(spark):
@@ -70,7 +69,8 @@ def test_corrections_make_a_new_version(spark):
         fixes = {(e, rng.randrange(130)): rng.randrange(-5, 50) for e in ("a", "b", "new")[trial:] for _ in range(3)}
         state = loaded(spark, amounts, 28)
         old = rows(state.current())
-        state.correct(daily(spark, fixes), 1)
+        state.stage(staged(spark, fixes, 1))
+        state.correct(1)
         whole = dict(amounts)
         for k, v in fixes.items():
             whole[k] = whole.get(k, 0) + v
@@ -86,6 +86,17 @@ def test_stored_state_is_read_without_a_shuffle(spark):
     assert "Exchange" not in state.current()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nothing_staged(spark):
+    assert rows(loaded(spark, {("a", 1): 1}, 28).current().limit(0)) == {}
+    state = rs.RollingState(spark, (7, 30), 2)
+    state.stage(staged(spark, {("a", 1): 1}).limit(0))
+    assert state.staged_days() == [] and rows(state.current()) == {}
+    # corrections alone
+    state.stage(staged(spark, {("a", 1): 4, ("a", 3): 1}, 1))
+    state.correct(1)
+    assert rows(state.current()) == brute({("a", 1): 4, ("a", 3): 1})
+
+
 def test_day_blocks():
     assert rs.day_blocks([], 7) == []
     assert rs.day_blocks([day(0), day(3), day(9), day(10), day(400)], 7) == [(day(0), day(6)), (day(7), day(13)), (day(14), day(400))]
@@ -102,5 +113,6 @@ def test_daily_amounts_count_records_once_and_split_hot_entities(spark):
             n, total = want.get((s, t.date()), (0, 0))
             want[s, t.date()] = (n + 1, total + (q or 0))
     for piece_rows in (10, 10**6):
-        got = rs.daily_amounts(df, F.col("s"), F.col("ts"), "id", {"q": F.col("q")}, {"qty": F.coalesce("q", F.lit(0)), "n": F.lit(1)}, 2, piece_rows).read()
+        parts = rs.partial_amounts(df, F.col("s"), F.col("ts"), "id", {"q": F.col("q")}, {"qty": F.coalesce("q", F.lit(0)), "n": F.lit(1)}, piece_rows)
+        got = parts.groupBy("entity", "day").agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"))
         assert {(r["entity"], r["day"]): (r["n"], r["qty"]) for r in got.collect()} == want
