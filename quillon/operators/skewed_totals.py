@@ -3,75 +3,117 @@
 Method: dense accumulator arrays.  Every input split, whatever its keys,
 dictionary-encodes its keys to dense codes and scatter-reduces its rows into
 numpy arrays indexed by code.  The split then hands over its dictionary and
-arrays, cut into blocks; a distributed reduction adds the blocks up.  Work per
-task depends on the size of the split alone: no task ever receives "all rows
-of a key", and a key that holds a third of the rows reaches the reduction as
-one number a split.
+arrays, cut into blocks by a hash of the key, and a distributed reduction adds
+the blocks: each of its tasks encodes the keys of its blocks once more and adds
+array to array.  Work per task depends on the size of the split alone: no task
+ever receives "all rows of a key", and a key that holds a third of the rows
+reaches the reduction as one number a split.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Keys in one array block of a split.
-BLOCK = 4096
-_BLOCKS = "keys array<string>, ns array<bigint>, his array<bigint>, los array<bigint>, seen array<bigint>"
+#: Blocks into which keys are hashed, and keys in one row of a block.
+BLOCKS = 1024
+BLOCK_KEYS = 4096
+_PARTS = "block int, keys array<string>, ns array<bigint>, seen array<bigint>, his array<bigint>, los array<bigint>, sums array<double>"
+_TOTALS = "key string, n bigint, n_values bigint, hi bigint, lo bigint, s double"
 
 
-def _accumulate(block: int):
+class _Arrays:
+    """Keys with dense codes, and accumulators indexed by code: rows, values, high and low halves of whole sums, float sums."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str | None, int] = {}
+        self.whole = np.zeros((4, 1024), dtype=np.int64)
+        self.float = np.zeros(1024)
+
+    def encode(self, keys: pa.Array) -> np.ndarray:
+        encoded = keys.dictionary_encode()
+        own = np.array([self.codes.setdefault(k, len(self.codes)) for k in [*encoded.dictionary.to_pylist(), *([None] if encoded.null_count else [])]], dtype=np.int64)
+        while len(self.codes) > self.whole.shape[1]:
+            self.whole = np.concatenate([self.whole, np.zeros_like(self.whole)], axis=1)
+            self.float = np.concatenate([self.float, np.zeros_like(self.float)])
+        return own[encoded.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def _accumulate(floats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str | None, int] = {}
-        acc = np.zeros((4, 1024), dtype=np.int64)
+        acc = _Arrays()
         for batch in batches:
-            encoded = batch.column(0).dictionary_encode()
-            own = np.array([codes.setdefault(k, len(codes)) for k in [*encoded.dictionary.to_pylist(), None]], dtype=np.int64)
-            while len(codes) > acc.shape[1]:
-                acc = np.concatenate([acc, np.zeros_like(acc)], axis=1)
-            local = encoded.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False)
-            at = own[local]
+            at = acc.encode(batch.column(0))
+            width = len(acc.codes)
             value = batch.column(1)
             valid = value.is_valid().to_numpy(zero_copy_only=False)
             v = value.fill_null(0).to_numpy(zero_copy_only=False)
-            width = len(codes)
-            acc[0, :width] += np.bincount(at, minlength=width)
-            # high and low halves: neither sum can overflow
-            np.add.at(acc[1], at, v >> 32)
-            np.add.at(acc[2], at, v & 0xFFFFFFFF)
-            acc[3, :width] += np.bincount(at[valid], minlength=width)
-        keys = list(codes)
-        used = np.flatnonzero(acc[0, : len(keys)])
-        for i in range(0, len(used), block):
-            part = used[i : i + block]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([[keys[j] for j in part]], pa.list_(pa.string())), *[pa.array([acc[r, part]], pa.list_(pa.int64())) for r in range(4)]],
-                names=["keys", "ns", "his", "los", "seen"],
-            )
+            acc.whole[0, :width] += np.bincount(at, minlength=width)
+            acc.whole[1, :width] += np.bincount(at[valid], minlength=width)
+            if floats:
+                acc.float[:width] += np.bincount(at, weights=v, minlength=width)
+            else:
+                # high and low halves: neither sum can overflow
+                np.add.at(acc.whole[2], at, v >> 32)
+                np.add.at(acc.whole[3], at, v & 0xFFFFFFFF)
+        keys = np.array(list(acc.codes), dtype=object)
+        block = np.array([zlib.crc32(k.encode()) % BLOCKS if k is not None else 0 for k in keys], dtype=np.int64)
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for part in np.split(order, cuts):
+            for i in range(0, len(part), BLOCK_KEYS):
+                own = part[i : i + BLOCK_KEYS]
+                whole = [pa.array([acc.whole[r, own]], pa.list_(pa.int64())) for r in range(4)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block[own[0]]], pa.int32()), pa.array([keys[own].tolist()], pa.list_(pa.string())), *whole, pa.array([acc.float[own]], pa.list_(pa.float64()))],
+                    names=["block", "keys", "ns", "seen", "his", "los", "sums"],
+                )
 
     return run
 
 
-def keyed_totals(df: DataFrame, key: Column, value: Column, block: int = BLOCK) -> DataFrame:
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the blocks of one partition; all parts of a key are in it."""
+    acc = _Arrays()
+    for batch in batches:
+        at = acc.encode(batch.column(1).flatten())
+        for r in range(4):
+            np.add.at(acc.whole[r], at, batch.column(2 + r).flatten().to_numpy())
+        np.add.at(acc.float, at, batch.column(6).flatten().to_numpy())
+    keys = list(acc.codes)
+    for i in range(0, len(keys), 1 << 16):
+        part = slice(i, min(i + (1 << 16), len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.string()), *[pa.array(acc.whole[r, part]) for r in range(4)], pa.array(acc.float[part])], names=["key", "n", "n_values", "hi", "lo", "s"])
+
+
+def keyed_totals(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """Rows, non-null values and sum of ``value`` for every value of ``key``.
 
-    Result: ``(key string, n bigint, n_values bigint, total decimal(38,0))``,
-    one row per distinct key; the null key is a row of its own.  ``value`` is
-    read as bigint, null adds nothing; a key with only null values has total
-    null.  Sums are exact beyond 64 bits.  An empty table gives no rows.
-    Other columns of ``df`` aren't read, so their names don't matter.
+    Result: ``(key string, n bigint, n_values bigint, total)``, one row per
+    distinct key; the null key is a row of its own.  Null adds nothing; a key
+    with only null values has total null.  Whole numbers add up exactly, beyond
+    64 bits, to a decimal(38,0); floats add up to a double, NaN to NaN; other
+    types, decimals among them, are refused: count them in whole minor units.
+    An empty table gives no rows.  Other columns of ``df`` aren't read, so their
+    names don't matter.
     """
-    blocks = df.select(key.cast("string").alias("k"), value.cast("long").alias("v")).mapInArrow(_accumulate(block), _BLOCKS)
+    rows = df.select(key.cast("string").alias("k"), value.alias("v"))
+    kind = rows.schema["v"].dataType
+    floats = isinstance(kind, (T.FloatType, T.DoubleType))
+    if not floats and not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"no totals of {kind.simpleString()}")
+    v = F.col("v").cast("double" if floats else "long")
+    blocks = rows.select("k", v.alias("v")).mapInArrow(_accumulate(floats), _PARTS)
+    sums = blocks.repartition("block").mapInArrow(_reduce, _TOTALS)
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    return (
-        blocks.select(F.explode(F.arrays_zip("keys", "ns", "his", "los", "seen")).alias("e"))
-        .groupBy(F.col("e.keys").alias("key"))
-        .agg(F.sum("e.ns").alias("n"), F.sum("e.seen").alias("n_values"), F.sum("e.his").alias("hi"), F.sum("e.los").alias("lo"))
-        .select("key", "n", "n_values", F.when(F.col("n_values") > 0, (wide("hi") * F.lit(1 << 32).cast("decimal(11,0)") + wide("lo")).cast("decimal(38,0)")).alias("total"))
-    )
+    exact = (wide("hi") * F.lit(1 << 32).cast("decimal(11,0)") + wide("lo")).cast("decimal(38,0)")
+    return sums.select("key", "n", "n_values", F.when(F.col("n_values") > 0, F.col("s") if floats else exact).alias("total"))
 
 
 def dominant_keys(totals: DataFrame, percent: int) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import skewed_totals
 from quillon.operators.skewed_totals import dominant_keys, keyed_totals
 
 
@@ -19,7 +21,23 @@ def test_against_brute_force(spark):
         want[k] = (n + 1, m + (v is not None), t + (v or 0))
     want = {k: (n, m, t if m else None) for k, (n, m, t) in want.items()}
     assert totals(spark, rows) == want
-    assert totals(spark, rows, parts=7, block=16) == want
+    assert totals(spark, rows, parts=7) == want
+
+
+def test_blocks_of_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(skewed_totals, "BLOCK_KEYS", 2)
+    rows = [(f"k{i % 5000}", i, "", 0) for i in range(12_000)]
+    got = totals(spark, rows)
+    assert len(got) == 5000 and sum(n for n, _, _ in got.values()) == 12_000 and sum(t for _, _, t in got.values()) == sum(range(12_000))
+
+
+def test_floats_add_up_and_other_types_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", 1.5), ("b", None), ("c", float("nan")), ("c", 1.0)], "k string, v double")
+    got = {r["key"]: r["total"] for r in keyed_totals(df, F.col("k"), F.col("v")).collect()}
+    assert got["a"] == 3.0 and got["b"] is None and got["c"] != got["c"]
+    for kind in ("string", "decimal(10,2)"):
+        with pytest.raises(TypeError):
+            keyed_totals(df, F.col("k"), F.col("v").cast(kind))
 
 
 def test_edges(spark):
