@@ -4,144 +4,186 @@ Method: a linear pairwise ranker learns from pairs of graded documents of one
 language which of two is harder, from syntax and vocabulary features of the
 whole text; its scores are calibrated into levels by isotonic regression.
 
-Features are taken relative to their language (median and spread over the
-whole corpus), so scores compare within a language.  The language is told from
-the text itself by a naive Bayes model of the commonest words of each language
-code, because the codes of documents may be wrong or missing.
+Two passes over all documents: the first counts in how many documents of each
+language code a word occurs; the second computes the features, on the JVM but
+for the lookup of words, which runs on Arrow batches.  Features are taken
+relative to their language (mean and spread over the whole corpus), so scores
+compare within a language.  The language is told from the text itself by a
+naive Bayes model of those counts, because the codes of documents may be wrong
+or missing.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import durable
+from quillon.runtime import durable, quoted
 
 LEVELS = ("basic", "intermediate", "advanced")
-#: Most graded documents the ranker is fitted on, and most documents and words the language model is.
+#: Most graded documents the ranker is fitted on, and pairs of them.
 MAX_GRADED = 20_000
-MAX_LANGUAGE_DOCS = 20_000
-MAX_LANGUAGE_WORDS = 20_000
-
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TAG = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};")
+MAX_PAIRS = 200_000
+#: A word is common in a language if it occurs in this share of its documents.
+#: With d distinct words a document there are at most d / share of them in each
+#: language, whatever the corpus: the bound of what is broadcast.
+COMMON = 0.002
+#: Documents that the distribution over all languages counts for in the model of each:
+#: a code that few documents bear says little about words.
+SHRINK = 50.0
+
+NAMES = (
+    "words_a_sentence", "longest_sentence", "clauses_a_sentence", "letters_a_word", "long_words", "very_long_words", "longest_words", "long_words_a_sentence", "variety",
+    "words_a_clause", "subordinations_a_sentence", "rare_words",
+)
+
+# Words that begin subordinate clauses in English, German, French, Spanish and Russian
+SUBORDINATORS = (
+    "although because before if since that though unless until when whereas whether which while who whom whose"
+    " als bevor dass damit falls indem nachdem obwohl ob sodass sobald solange während weil wenn"
+    " afin bien comme dont lorsque parce puisque quand que quoique qui tandis"
+    " aunque como cuando mientras porque pues quien si sino cuyo"
+    " если когда который которая которое которые чтобы что хотя пока поскольку потому"
+).split()
+
+_MARK = "\u00b6"
+_WORD = r"\p{L}++(?:['’]\p{L}++)*+"
+_TAG = r"<[^<>]++>|&[A-Za-z]++;|&#\d++;"
 # a line that starts a list item or follows an empty line starts a sentence
-_BREAK = re.compile(r"\n\s*(?=[-*•—–\d]+[\s.)])|\n\s*\n")
-_DASH = re.compile(r"(?<=[.!?…])\s+[—–-]\s+")
+_BREAK = r"\n\s*(?=[-*•—–\d]+[\s.)])|\n\s*\n"
+_DASH = r"(?<=[.!?…])\s+[—–-]\s+"
 # a full stop ends a sentence after a word of three letters, a number or a
 # bracket if a capital follows that doesn't begin another abbreviation; other
 # end marks always do
 _CLOSE = "[\"'”“»’)\\]]*"
 _OPEN = "[\"'„“«‘(¿¡\\[]*"
-_END = re.compile(rf"(?<=[\w)\]]{{3}})[.]+{_CLOSE}\s+(?={_OPEN}[A-ZÀ-ÖØ-ÞА-ЯЁ])(?!{_OPEN}\w{{1,3}}\.)|[!?…]+{_CLOSE}\s+|[.]+[\"'”“»’)\]]+\s+(?=[\"'„“«‘(¿¡])")
-_CLAUSE = re.compile(r"[,;:]")
-
-NAMES = ("words_a_sentence", "longest_sentence", "clauses_a_sentence", "letters_a_word", "long_words", "very_long_words", "longest_words", "long_words_a_sentence", "variety")
-
-
-def features(text: str | None) -> list[float]:
-    """Features of a whole text; all 0 for a text without words."""
-    plain = _TAG.sub(" ", text or "")
-    sentences = []
-    for block in _BREAK.split(plain):
-        for part in _END.split(_DASH.sub("\n\n", block).replace("\n\n", " ¶ ").replace("\n", " ")):
-            for s in part.split("¶"):
-                words = _WORD.findall(s)
-                if words:
-                    sentences.append((words, len(_CLAUSE.findall(s))))
-    if not sentences:
-        return [0.0] * len(NAMES)
-    n = len(sentences)
-    # names say nothing about difficulty: words in capitals inside a sentence are no vocabulary
-    words = [w for ws, _ in sentences for w in ws]
-    sizes = np.array([len(w) for w in words], dtype=float)
-    lengths = np.sort(np.array([len(ws) for ws, _ in sentences], dtype=float))
-    long_ = sizes >= 10
-    return [
-        math.log1p(float(lengths.mean())),
-        math.log1p(float(lengths[min(n - 1, int(0.9 * n))])),
-        sum(c for _, c in sentences) / n,
-        float(sizes.mean()),
-        float(long_.mean()),
-        float((sizes >= 13).mean()),
-        float(np.sort(sizes)[int(0.9 * (len(sizes) - 1))]),
-        math.log1p(float(long_.sum()) / n),
-        len({w.lower() for w in words}) / math.sqrt(len(words)),
-    ]
+_END = (
+    rf"(?<=[\p{{L}}\p{{N}}_)\]]{{3}})[.]+{_CLOSE}\s+(?={_OPEN}[A-ZÀ-ÖØ-ÞА-ЯЁ])(?!{_OPEN}[\p{{L}}\p{{N}}_]{{1,3}}\.)|[!?…]+{_CLOSE}\s+"
+    "|[.]+[\"'”“»’)\\]]+\\s+(?=[\"'„“«‘(¿¡])"
+)
 
 
-@dataclass
-class LanguageModel:
-    """Naive Bayes over common words; at most ``MAX_LANGUAGE_WORDS`` of them."""
-
-    codes: list[str] = field(default_factory=list)
-    weights: dict[str, list[float]] = field(default_factory=dict)
-    prior: list[float] = field(default_factory=list)
-
-    def tell(self, text: str | None) -> str | None:
-        if not self.codes or not text:
-            return None
-        total = np.array(self.prior)
-        known = 0
-        for w in _WORD.findall(text.lower()):
-            row = self.weights.get(w)
-            if row is not None:
-                total = total + row
-                known += 1
-        return self.codes[int(total.argmax())] if known else None
-
-
-def base_code(lang):
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def plain_text(text: Column) -> Column:
+    """The text without markup."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _TAG, " ")
+
+
+def base_code(lang: Column) -> Column:
     """``en`` for ``EN``, ``en-X`` and ``eng`` alike: the first two letters."""
     return F.substring(F.lower(F.trim(lang)), 1, 2)
 
 
-def fit_language(docs: DataFrame, text: str, lang: str, max_docs: int = MAX_LANGUAGE_DOCS, min_share: float = 0.005) -> LanguageModel:
-    """Language model from the (sometimes wrong) codes of a bounded sample.
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def with_features(docs: DataFrame, text: str) -> DataFrame:
+    """Add ``x``, the features but for the last, and ``w``, the distinct words in lower case; all 0 for a text without words."""
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__p"), _BREAK, f" {_MARK} "), _DASH, f" {_MARK} "), r"\n", " ")
+    d = docs.withColumn("__p", plain_text(F.col(quoted(text)))).withColumn("__s", F.split(F.regexp_replace(marked, _END, _MARK), _MARK)).withColumn("__w", _words(F.col("__p")))
+    parts = F.transform("__s", lambda s: F.struct(F.size(_words(s)).alias("n"), (F.length(s) - F.length(F.translate(s, ",;:", ""))).alias("c")))
+    d = d.withColumn("__s", F.filter(parts, lambda s: s["n"] > 0)).withColumn("__l", F.array_sort(F.transform("__w", F.length))).withColumn("__low", F.transform("__w", F.lower))
+    d = d.withColumn("w", F.array_distinct("__low")).withColumn("__n", F.array_sort(F.transform("__s", lambda s: s["n"])))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b).cast("double")
+    sentences, words = F.size("__n").cast("double"), F.size("__w").cast("double")
+    clauses = total(F.transform("__s", lambda s: s["c"]))
+    counted = total("__n")
+    long_ = F.size(F.filter("__l", lambda v: v >= 10)).cast("double")
+    subordinate = F.size(F.filter("__low", lambda v: v.isin(SUBORDINATORS))).cast("double")
+    at = lambda c, i: F.coalesce(F.get(c, i.cast("int")).cast("double"), F.lit(0.0))
+    x = [
+        F.log1p(_ratio(counted, sentences)),
+        F.log1p(at("__n", F.least(sentences - 1, F.floor(sentences * 0.9)))),
+        _ratio(clauses, sentences),
+        _ratio(total("__l"), words),
+        _ratio(long_, words),
+        _ratio(F.size(F.filter("__l", lambda v: v >= 13)).cast("double"), words),
+        at("__l", F.floor((words - 1) * 0.9)),
+        F.log1p(_ratio(long_, sentences)),
+        _ratio(F.size("w").cast("double"), F.sqrt(words)),
+        F.log1p(_ratio(counted, clauses + sentences)),
+        _ratio(subordinate, sentences),
+    ]
+    return d.withColumn("x", F.array(*x)).drop("__p", "__s", "__w", "__l", "__low", "__n")
 
-    The sample takes the ``max_docs`` documents with the smallest hash; codes
-    under ``min_share`` of it are no languages.
-    """
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), base_code(F.col(lang)).alias("c"))
-    sample = rows.orderBy(F.xxhash64("t"), "c", "t").limit(max_docs)
-    counted: dict[str, dict[str, int]] = {}
-    sizes: dict[str, int] = {}
-    for r in sample.toLocalIterator():
-        sizes[r["c"]] = sizes.get(r["c"], 0) + 1
-        own = counted.setdefault(r["c"], {})
-        for w in set(_WORD.findall(r["t"].lower())):
-            own[w] = own.get(w, 0) + 1
-    codes = sorted(c for c, n in sizes.items() if n >= min_share * sum(sizes.values()))
-    if not codes:
-        return LanguageModel()
-    total: dict[str, int] = {}
-    for c in codes:
-        for w, n in counted[c].items():
-            total[w] = total.get(w, 0) + n
-    common = sorted(total, key=lambda w: (-total[w], w))[:MAX_LANGUAGE_WORDS]
-    weights = {w: [math.log((counted[c].get(w, 0) + 0.1) / (sizes[c] + 1.0)) for c in codes] for w in common}
-    return LanguageModel(codes, weights, [0.0] * len(codes))
 
+@dataclass
+class Vocabulary:
+    """Languages, their common words, and per word and language the log probability and whether it is common."""
 
-def featured(docs: DataFrame, ident: str, text: str, model: LanguageModel) -> DataFrame:
+    codes: list[str]
+    prior: np.ndarray
+    words: pa.Array
+    weights: np.ndarray
+    common: np.ndarray
+
+    def tell(self, lists: pa.ListArray) -> tuple[list[str | None], np.ndarray]:
+        """Language of each list of distinct words (None if none of them is known), and its share of words that aren't common there."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets, flat = offsets - offsets[0], lists.flatten()
+        rows = len(offsets) - 1
+        if not self.codes or not len(self.words):
+            return [None] * rows, np.zeros(rows)
+        at = pc.index_in(flat, value_set=self.words).fill_null(len(self.words)).to_numpy(zero_copy_only=False)
+
+        def per_row(values: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+            return upto[offsets[1:]] - upto[offsets[:-1]]
+
+        found = per_row((at < len(self.words)).astype(float)[:, None])[:, 0]
+        best = (per_row(self.weights[at]) + self.prior).argmax(axis=1)
+        common = per_row(self.common[at])[np.arange(rows), best]
+        n = np.diff(offsets)
+        rare = np.where((n > 0) & (found > 0), 1 - common / np.maximum(n, 1), 0.0)
+        return [self.codes[b] if f else None for b, f in zip(best, found, strict=True)], rare
+
+
+def vocabulary(docs: DataFrame, text: str, lang: str, common: float = COMMON) -> Vocabulary:
+    """Counts of all documents whose language code isn't null: no code and no document is left out."""
+    rows = docs.select(base_code(F.col(quoted(lang))).alias("c"), F.col(quoted(text)).alias("t")).filter("c is not null and t is not null")
+    sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect()}  # pairs of letters
+    codes = list(sizes)
+    if not codes:
+        return Vocabulary([], np.zeros(0), pa.array([], pa.string()), np.zeros((1, 0)), np.zeros((1, 0)))
+    words = rows.select("c", F.explode(F.array_distinct(_words(F.lower(plain_text(F.col("t")))))).alias("w"))
+    counts = words.groupBy("w").agg(*[F.count_if(F.col("c") == c).alias(f"n{i}") for i, c in enumerate(codes)])
+    known = counts.filter(F.greatest(*[F.col(f"n{i}") / n for i, n in enumerate(sizes.values())], F.lit(0.0)) >= common).toArrow()
+    n = np.array([sizes[c] for c in codes], dtype=float)
+    k = np.stack([known.column(f"n{i}").to_numpy() for i in range(len(codes))], axis=1).astype(float).reshape(known.num_rows, len(codes))
+    everywhere = (k.sum(axis=1) / n.sum())[:, None]
+    weights = np.log((k + SHRINK * everywhere) / (n + SHRINK))
+    zero = np.zeros((1, len(codes)))  # words that no language knows
+    return Vocabulary(codes, np.log(n / n.sum()), known.column("w").combine_chunks(), np.concatenate([weights, zero]), np.concatenate([(k >= common * n).astype(float), zero]))
+
+
+def featured(docs: DataFrame, ident: str, text: str, vocab: Vocabulary) -> DataFrame:
     """``(<ident>, language, x)`` of every document, from whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGE_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # bounded by the share that makes a word common
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tell = shared.value.tell
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["t"]]
-            yield pd.DataFrame({"i": pdf["i"], "language": [tell(t) for t in texts], "x": [features(t) for t in texts]})
+        width = len(NAMES)
+        for b in batches:
+            language, rare = tell(b.column(2))
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rare), width - 1)
+            values = pa.array(np.concatenate([x, rare[:, None]], axis=1).ravel())
+            offsets = pa.array(np.arange(0, width * len(rare) + 1, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(language, pa.string()), pa.ListArray.from_arrays(offsets, values)], names=["i", "language", "x"])
 
     kind = dict(docs.dtypes)[ident]
-    return docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).mapInPandas(run, f"i {kind}, language string, x array<double>").withColumnRenamed("i", ident)
+    d = with_features(docs.select(F.col(quoted(ident)).alias("i"), F.col(quoted(text)).alias("t")), "t").select("i", "x", "w")
+    return d.mapInArrow(run, f"i {kind}, language string, x array<double>").withColumnRenamed("i", ident)
 
 
 def scales(feats: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
@@ -152,7 +194,7 @@ def scales(feats: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
     return {r["language"]: (np.array([r[f"m{i}"] for i in range(k)]), np.array([max(r[f"s{i}"] or 0.0, 1e-6) for i in range(k)])) for r in rows}
 
 
-def rank_weights(x: np.ndarray, grade: np.ndarray, group: np.ndarray, seed: int = 7, pairs: int = 200_000, ridge: float = 1e-3) -> np.ndarray:
+def rank_weights(x: np.ndarray, grade: np.ndarray, group: np.ndarray, seed: int = 7, pairs: int = MAX_PAIRS, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a linear ranker: logistic loss on pairs of one group with different grades."""
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, len(x), size=(2, pairs * 3)) if len(x) else np.zeros((2, 0), dtype=int)
@@ -198,14 +240,6 @@ class LevelModel:
     #: for each level above the first, the score from which it is the likelier
     bounds: list[float]
 
-    def score(self, x: np.ndarray, language: list) -> np.ndarray:
-        out = np.zeros(len(x))
-        anyone = next(iter(self.scales.values()), (np.zeros(len(NAMES)), np.ones(len(NAMES))))
-        for i, lang in enumerate(language):
-            m, s = self.scales.get(lang, anyone)
-            out[i] = float(((x[i] - m) / s) @ self.weights)
-        return out
-
 
 def fit_levels(feats: DataFrame, labels: DataFrame, ident: str, max_graded: int = MAX_GRADED) -> LevelModel:
     """Ranker and calibration from graded documents, at most ``max_graded`` of them.
@@ -236,21 +270,17 @@ def fit_levels(feats: DataFrame, labels: DataFrame, ident: str, max_graded: int
 
 def levels(feats: DataFrame, model: LevelModel, ident: str) -> DataFrame:
     """``(<ident>, language, score, level)`` of every document."""
-    shared = feats.sparkSession.sparkContext.broadcast(model)  # some numbers a language
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist()).reshape(len(pdf), len(NAMES))
-            language = [v if isinstance(v, str) else None for v in pdf["language"]]
-            score = m.score(x, language)
-            level = np.searchsorted(np.array(m.bounds), score, side="right")
-            # a text without words is as easy as can be
-            wordless = ~x.any(axis=1)
-            yield pd.DataFrame({"i": pdf["i"], "language": language, "score": score, "level": [LEVELS[0] if e else LEVELS[v] for v, e in zip(level, wordless, strict=True)]})
-
-    kind = dict(feats.dtypes)[ident]
-    return feats.withColumnRenamed(ident, "i").mapInPandas(run, f"i {kind}, language string, score double, level string").withColumnRenamed("i", ident)
+    # a row a language: the score is linear in the features themselves
+    rows = [(lang, (model.weights / s).tolist(), float(-(m / s) @ model.weights)) for lang, (m, s) in model.scales.items()]
+    of = F.broadcast(feats.sparkSession.createDataFrame(rows, "__of string, __w array<double>, __b double"))
+    products = F.zip_with("x", "__w", lambda a, b: a * b)
+    score = F.aggregate(products, F.lit(0.0), lambda a, b: a + b) + F.col("__b")
+    d = feats.join(of, F.col("language").eqNullSafe(F.col("__of"))).withColumn("score", score)
+    # a text without words is as easy as can be
+    level = F.when(~F.exists("x", lambda v: v != 0), F.lit(LEVELS[0]))
+    for name, bound in reversed([*zip(LEVELS[1:], model.bounds, strict=False)]):
+        level = level.when(F.col("score") >= F.lit(bound), F.lit(name))
+    return d.select(F.col(quoted(ident)), "language", "score", level.otherwise(F.lit(LEVELS[0])).alias("level"))
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -261,5 +291,5 @@ def reading_levels(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", te
     label all scores are 0 and every level is ``basic``.  An empty table gives
     no rows; other columns aren't read.
     """
-    feats = durable(featured(docs, ident, text, fit_language(docs, text, lang)))
+    feats = durable(featured(docs, ident, text, vocabulary(docs, text, lang)))
     return levels(feats, fit_levels(feats, labels, ident), ident)

@@ -6,14 +6,37 @@ import pytest
 from quillon.llm import reading_level as R
 
 
-def test_sentences_and_abbreviations():
-    x = dict(zip(R.NAMES, R.features("The cat sat. The dog ran approx. 3.75 km cf. No. 12 here! Yes"), strict=True))
+def features(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    return [r["x"] for r in R.with_features(df, "t").orderBy("i").collect()]
+
+
+def test_sentences_and_abbreviations(spark):
+    names = R.NAMES[:-1]
+    got = features(
+        spark, "The cat sat. The dog ran approx. 3.75 km cf. No. 12 here! Yes", "- one two\n- three four", "one two. Three four.", "one two\nthree four", None, "", "123 ... <b></b>",
+        "word " * 200_000, "<i class='" + "x" * 500 + "'>one</i> two", "He left, because it rained.",
+    )
+    x = dict(zip(names, got[0], strict=True))
     assert np.expm1(x["words_a_sentence"]) == pytest.approx((3 + 8 + 1) / 3, abs=0.5)
     # list items and empty lines end sentences, wrapped lines don't
-    assert R.features("- one two\n- three four")[0] == R.features("one two. Three four.")[0] == pytest.approx(np.log1p(2.0))
-    assert R.features("one two\nthree four")[0] == pytest.approx(np.log1p(4.0))
-    assert R.features(None) == R.features("") == R.features("123 ... <b></b>") == [0.0] * len(R.NAMES)
-    assert len(R.features("word " * 200_000)) == len(R.NAMES)
+    assert got[1][0] == got[2][0] == pytest.approx(np.log1p(2.0)) and got[3][0] == pytest.approx(np.log1p(4.0))
+    assert got[4] == got[5] == got[6] == [0.0] * len(names)
+    assert np.expm1(got[7][0]) == pytest.approx(200_000)
+    # tags of any length are no words
+    assert np.expm1(got[8][0]) == pytest.approx(2)
+    last = dict(zip(names, got[9], strict=True))
+    assert last["subordinations_a_sentence"] == last["clauses_a_sentence"] == 1 and np.expm1(last["words_a_clause"]) == pytest.approx(2.5)
+
+
+def test_language_and_rare_words(spark):
+    docs = [(i, "the cat and the dog", "en") for i in range(40)] + [(i, "der Hund und die Katze", "de") for i in range(40, 60)] + [(60, "the dog and the zyzzyva", "de"), (61, "und der Hund", None), (62, "???", "xx"), (63, "the cat", "xx")]
+    df = spark.createDataFrame(docs, "id long, t string, l string")
+    vocab = R.vocabulary(df, "t", "l", 0.1)
+    got = {r["id"]: (r["language"], r["x"][-1]) for r in R.featured(df, "id", "t", vocab).collect()}
+    assert got[0] == ("en", 0.0) and got[45] == ("de", 0.0) and got[61] == ("de", 0.0) and got[62] == (None, 0.0) and got[63][0] == "en"
+    # a wrong code doesn't tell the language, and one word of four is rare
+    assert got[60] == ("en", pytest.approx(0.25))
 
 
 def test_isotonic_is_the_best_monotone_fit():
