@@ -15,7 +15,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -535,19 +535,22 @@ class GroupBy:
         by = [F.col(quoted(k)) for k in self.keys]
         if not exprs:
             return Frame(r.df.select(*by).distinct()).sort_by(list(self.keys))
-        cols: list[Column] = []
+        aggs: list[tuple[str, Expr]] = []
         for e in exprs:
             inner = e.args[0] if e.op == "alias" else e
             if inner.op not in AGGREGATES:
                 raise ValueError("an aggregate of a row-local expression is needed")
             if contains(inner.args[0], AGGREGATES | ORDERED):
                 inner = Expr(inner.op, (col(r.put(r.column(inner.args[0]))),), inner.params)
-            cols.append(r.aggregate_column(inner).alias(output_name(e)))
+            aggs.append((output_name(e), inner))
+        keys = {f"__k{i}": k for i, k in enumerate(self.keys)}
         if len(self.keys) == 1:
             key = r.order_key()
-            out = r.df.groupBy(*by).agg(*cols, F.min(key).alias(ROW))
-            return Frame(out, ((ROW, False, False),))
-        return Frame(r.df.groupBy(*by).agg(*cols)).sort_by(list(self.keys))
+            out = r.per_key([(f"__a{i}", e) for i, (_, e) in enumerate(aggs)], self.keys, F.min(key).alias(ROW))
+        else:
+            out = r.per_key([(f"__a{i}", e) for i, (_, e) in enumerate(aggs)], self.keys)
+        named = out.select(*[F.col(c).alias(k) for c, k in keys.items()], *[F.col(f"__a{i}").alias(n) for i, (n, _) in enumerate(aggs)], *([ROW] if len(self.keys) == 1 else []))
+        return Frame(named, ((ROW, False, False),)) if len(self.keys) == 1 else Frame(named).sort_by(list(self.keys))
 
 
 def _bare(e: Expr) -> bool:

@@ -104,3 +104,25 @@ def quantiles_frame(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
         at = last.cast("double") * q
         cells += [holds(F.floor(at)).alias(f"lo{i}"), holds(F.ceil(at)).alias(f"hi{i}"), F.max(at - F.floor(at)).alias(f"part{i}")]
     return v.agg(*cells).select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(qs))])
+
+
+def quantiles_by(df: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
+    """``(key, q0, q1, ...)``: exact quantiles of every key that has a value.
+
+    Keys and values are put in one order that is cut into blocks anywhere, so a
+    key of any size is spread over tasks and no buffer holds its values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    indexed = dense_index(counts, [F.asc(key), F.asc(value)])
+    upto = Running(F.sum("n"), lambda t, w: F.coalesce(F.sum(t).over(w), F.lit(0)), lambda w: F.sum("n").over(w), lambda a, b: a + b)
+    run = carried(indexed, {"__upto": upto}).select(key, value, "n", (F.col("__upto") - F.col("n")).alias("before"))
+    run = durable(run)
+    per = run.groupBy(key).agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    at = [(F.col("total") - 1).cast("double") * q for q in qs]
+    own = F.col("before") - F.col("start")
+    holds = lambda pos: F.max(F.when((own <= pos) & (pos < own + F.col("n")), F.col(value).cast("double")))
+    cells = []
+    for i, a in enumerate(at):
+        cells += [holds(F.floor(a)).alias(f"lo{i}"), holds(F.ceil(a)).alias(f"hi{i}"), F.max(a - F.floor(a)).alias(f"part{i}")]
+    ends = run.join(per, key).groupBy(key).agg(*cells)
+    return ends.select(key, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(qs))])

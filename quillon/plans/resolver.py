@@ -175,16 +175,34 @@ class Resolver:
 
     def _grouped(self, aggs: list[Expr], keys: tuple[str, ...]) -> list[str]:
         """Aggregates per key, joined back as hidden columns."""
-        cols = []
-        for i, e in enumerate(aggs):
-            if e.op == "entropy":
-                raise ValueError("entropy has no per-key form")
-            cols.append(self.aggregate_column(e).alias(f"__g{self._n}_{i}"))
         names = [f"__g{self._n}_{i}" for i in range(len(aggs))]
         self._n += 1
-        self.attach(self.df.groupBy(*[F.col(quoted(k)).alias(f"__k{j}") for j, k in enumerate(keys)]).agg(*cols), keys)
+        self.attach(self.per_key([(n, e) for n, e in zip(names, aggs, strict=True)], keys), keys)
         return names
 
+    def per_key(self, aggs: list[tuple[str, Expr]], keys: tuple[str, ...], *more: Column) -> DataFrame:
+        """Aggregates by key: ``(__k0, ..., names...)`` and the columns of ``more``.
+
+        Quantiles and entropy have no small buffer; they come from counts of
+        values per key and are joined on.
+        """
+        by = [F.col(quoted(k)).alias(f"__k{j}") for j, k in enumerate(keys)]
+        wide = [(n, e) for n, e in aggs if e.op in ("median", "quantile", "entropy") and keys]
+        plain = [self.aggregate_column(e).alias(n) for n, e in aggs if (n, e) not in wide]
+        # inputs first: they may add columns
+        inputs = {n: self.put(self.column(e.args[0])) for n, e in wide}
+        out = self.df.groupBy(*by).agg(*plain, *more) if plain or more else self.df.select(*by).distinct()
+        key = F.struct(*[F.col(f"__k{j}") for j in range(len(keys))])
+        for n, e in wide:
+            rows = self.df.select(*by, F.col(inputs[n]).alias("__v")).select(key.alias("__key"), "__v")
+            if e.op == "entropy":
+                counts = rows.filter("__v is not null").groupBy("__key", "__v").agg(F.count(F.lit(1)).alias("n"))
+                found = counts.groupBy("__key").agg(entropy_of("n", e.params[0]).alias(n))
+            else:
+                found = order.quantiles_by(rows, "__key", "__v", [0.5 if e.op == "median" else float(e.params[0])]).withColumnRenamed("q0", n)
+            out = out.withColumn("__key", key).join(found, "__key", "left").drop("__key")
+        return out
+
     def attach(self, per_key: DataFrame, keys: tuple[str, ...]) -> None:
         """Join a table with columns __k0.. back on the keys, null equal to null."""
         if not keys:

@@ -232,8 +232,25 @@ def _(ev):
 def _(ev): return nulled(ev).filter(lit(False)).select(col("v").sum().alias("s"), col("k").sum().alias("i"), col("v").mean().alias("m"), col("v").std().alias("sd"), (col("k") > 5).any().alias("an"), (col("k") > 5).all().alias("al"), col("v").product().alias("p"))
 @query("median_quantile", "SELECT round(median(o_totalprice), 4) AS m, round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders", "orders")
 def _(o): return o.select(r4(col("o_totalprice").median(), "m"), r4(col("o_totalprice").quantile(0.9), "q"))
-@query("product", "SELECT round(exp(sum(ln(p_size))), 2) AS p FROM part WHERE p_partkey <= 5", "part")
-def _(p): return p.filter(col("p_partkey") <= 5).select(col("p_size").product().round(2).alias("p"))
+@query("product", "SELECT round(exp(sum(ln(1 + p_size / 100000.0))), 4) AS p FROM part", "part")
+def _(p): return p.select((col("p_size") / 100000.0 + 1.0).product().round(4).alias("p"))
+# user 1 holds half of all rows: a key of any size is spread over tasks
+_SKEWED = f"SELECT *, CASE WHEN event_id % 2 = 0 THEN 1 ELSE user_id END AS u FROM ({_NULLED})"
+
+
+def skewed(ev: Frame) -> Frame:
+    f = nulled(ev)
+    return Frame(f.df.withColumn("u", F.when(F.col("event_id") % 2 == 0, F.lit(1)).otherwise(F.col("user_id"))), f.order)
+
+
+@query("group_quantiles", f"SELECT u, round(median(v), 4) AS m, round(quantile_cont(v, 0.9), 4) AS q, count(v) AS n FROM ({_SKEWED}) GROUP BY 1", "events")
+def _(ev): return skewed(ev).group_by("u").agg(col("v").median().alias("m"), col("v").quantile(0.9).alias("q"), col("v").count().alias("n")).with_columns(col("m").round(4).alias("m"), col("q").round(4).alias("q"))
+@query("group_quantiles_null_keys", f"SELECT k, u, round(quantile_cont(v, 0.25), 4) AS q FROM ({_SKEWED}) GROUP BY 1, 2", "events")
+def _(ev): return skewed(ev).group_by("k", "u").agg(col("v").quantile(0.25).alias("q")).with_columns(col("q").round(4).alias("q"))
+@query("over_quantiles", f"SELECT event_id, round(v - median(v) OVER (PARTITION BY u), 4) AS d FROM ({_SKEWED})", "events")
+def _(ev): return skewed(ev).select("event_id", (col("v") - col("v").median().over("u")).round(4).alias("d"))
+@query("group_entropy", f"SELECT u, round(-sum(p * ln(p)) / ln(2), 6) AS h FROM (SELECT u, count(*) / sum(count(*)) OVER (PARTITION BY u) AS p FROM ({_SKEWED}) WHERE k IS NOT NULL GROUP BY u, k) GROUP BY 1 UNION ALL SELECT u, NULL FROM ({_SKEWED}) GROUP BY 1 HAVING count(k) = 0", "events")
+def _(ev): return skewed(ev).group_by("u").agg(col("k").entropy(2.0).alias("h")).with_columns(col("h").round(6).alias("h"))
 _MOMENTS = "SELECT count(x) AS n, avg(x) AS m, avg(x * x) AS m2, avg(x * x * x) AS m3, avg(x * x * x * x) AS m4 FROM (SELECT o_totalprice / 1000 AS x FROM orders)"
 @query("skew_kurtosis", f"SELECT round((m3 - 3 * m * m2 + 2 * m * m * m) / pow(m2 - m * m, 1.5), 4) AS s, round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / pow(m2 - m * m, 2) - 3, 4) AS k FROM ({_MOMENTS})", "orders")
 def _(o): return o.with_columns((col("o_totalprice") / 1000.0).alias("x")).select(r4(col("x").skew(), "s"), r4(col("x").kurtosis(), "k"))
@@ -451,8 +468,8 @@ _STR = {
 def _(p): return p.select("p_partkey", *[f(col("p_name")).alias(f"s_{n}") for n, (f, _) in _STR.items()])
 @query("zfill", "SELECT o_orderkey, CASE WHEN s[1] = '-' THEN '-' || lpad(substr(s, 2), greatest(length(s) - 1, 7)::INT, '0') ELSE lpad(s, greatest(length(s), 8)::INT, '0') END AS z FROM (SELECT o_orderkey, (o_orderkey - 300)::VARCHAR AS s FROM orders)", "orders")
 def _(o): return o.select("o_orderkey", (col("o_orderkey") - 300).cast("str").str.zfill(8).alias("z"))
-@query("title", "SELECT n_nationkey, upper(n_name[1]) || lower(substr(n_name, 2)) AS t FROM nation WHERE NOT contains(n_name, ' ')", "nation")
-def _(n): return n.filter(~col("n_name").str.contains(" ")).select("n_nationkey", col("n_name").str.title().alias("t"))
+@query("title", "SELECT p_partkey, array_to_string([upper(w[1]) || lower(substr(w, 2)) FOR w IN string_split(p_name, ' ')], ' ') AS t FROM part", "part")
+def _(p): return p.select("p_partkey", col("p_name").str.title().alias("t"))
 @query("split_lists", "SELECT p_partkey, array_to_string(string_split(p_name, ' '), '|') AS j, len(string_split(p_name, ' ')) AS n FROM part", "part")
 def _(p): return p.select("p_partkey", col("p_name").str.split_exact(" ").list.join("|").alias("j"), col("p_name").str.split_exact(" ").list.len().alias("n"))
 @query("concat_str", f"SELECT event_id, CASE WHEN k IS NOT NULL THEN user_id || '-' || k END AS c FROM ({_NULLED})", "events")
