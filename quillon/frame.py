@@ -13,11 +13,11 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from quillon import order, reshape, selectors, stats
 from quillon.expr import AGGREGATES, ORDERED, RESHAPING, Expr, col, columns, contains, output_name, walk
@@ -52,11 +52,12 @@ class Frame:
         names = columns or list(data)
         if len({len(data[n]) for n in names}) > 1:
             raise ValueError("columns differ in length")
-        return cls(spark.createDataFrame(pa.table({n: data[n] for n in names})).coalesce(1))
+        return cls.from_arrow(spark, pa.table({n: data[n] for n in names}))
 
     @classmethod
     def from_arrow(cls, spark: SparkSession, table: pa.Table) -> Frame:
-        return cls(spark.createDataFrame(table).coalesce(1))
+        # times without a zone stay so
+        return cls(spark.createDataFrame(table, from_arrow_schema(table.schema, prefer_timestamp_ntz=True)).coalesce(1))
 
     @classmethod
     def empty(cls, spark: SparkSession, schema: T.StructType | str) -> Frame:
@@ -268,10 +269,12 @@ class Frame:
     def map_values(self, name: str, f: Callable[[Any], Any], to: str | None = None) -> Frame:
         """Host function on the non-null values of a column, in Arrow batches."""
         kind = to or dict(self.dtypes)[name]
+        target = to_arrow_type(T.StructType.fromDDL(f"x {kind}")[0].dataType)
 
-        @F.pandas_udf(kind)
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(f, na_action="ignore")
+        # Arrow, not pandas: whole numbers beside nulls stay whole
+        @F.arrow_udf(kind)
+        def run(a: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else f(v) for v in a.to_pylist()], target)
 
         return self._with(self.df.withColumn(name, F.when(F.col(quoted(name)).isNotNull(), run(F.col(quoted(name))))))
 

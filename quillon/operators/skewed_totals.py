@@ -65,15 +65,15 @@ def _accumulate(floats: bool):
         keys = np.array(list(acc.codes), dtype=object)
         block = np.array([zlib.crc32(k.encode()) % BLOCKS if k is not None else 0 for k in keys], dtype=np.int64)
         order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        for part in np.split(order, cuts):
-            for i in range(0, len(part), BLOCK_KEYS):
-                own = part[i : i + BLOCK_KEYS]
-                whole = [pa.array([acc.whole[r, own]], pa.list_(pa.int64())) for r in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[own[0]]], pa.int32()), pa.array([keys[own].tolist()], pa.list_(pa.string())), *whole, pa.array([acc.float[own]], pa.list_(pa.float64()))],
-                    names=["block", "keys", "ns", "seen", "his", "los", "sums"],
-                )
+        if len(order):
+            # one row a block, cut where it has more than BLOCK_KEYS keys
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1])
+            cuts = np.concatenate([np.arange(a, b, BLOCK_KEYS) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)])
+            offsets = pa.array(np.concatenate([cuts, [len(order)]]), pa.int32())
+            lists = [pa.array(keys[order].tolist(), pa.string()), *[pa.array(acc.whole[r, order]) for r in range(4)], pa.array(acc.float[order])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[order][cuts], pa.int32()), *[pa.ListArray.from_arrays(offsets, values) for values in lists]], names=["block", "keys", "ns", "seen", "his", "los", "sums"]
+            )
 
     return run
 

@@ -95,6 +95,10 @@ def _(li):
     return li.filter(dates, col("l_discount").between(0.05, 0.07), col("l_quantity") < 24.0).select((col("l_extendedprice") * col("l_discount")).sum().round(2).alias("revenue"))
 
 
+@query("q6_all_dates", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24", "lineitem")
+def _(li): return li.filter(col("l_discount").between(0.05, 0.07), col("l_quantity") < 24.0).select((col("l_extendedprice") * col("l_discount")).sum().round(2).alias("revenue"))
+
+
 # --- projection
 
 @query("select_exprs", "SELECT o_orderkey, o_totalprice * 2 + 1 AS twice, o_custkey - o_orderkey AS gap FROM orders", "orders")

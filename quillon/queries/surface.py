@@ -15,6 +15,7 @@ from quillon.expr import walk
 from quillon.functions.rowwise import horizontal
 from quillon.queries.engine import _NAN, _NULLED, frame, nulled, with_nan
 from quillon.runtime import ensure_checkpoint_dir
+from quillon.series import Series
 from quillon.script import COMMANDS, Interpreter, transpile
 from quillon.sources import files
 from quillon.streaming import batches
@@ -120,6 +121,26 @@ def _(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
+@query("csv_chunks", "SELECT (count(*) + 699) // 700 >= 1 AS some, true AS bounded, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
+def _(spark, sf):
+    path = shared(spark, "chunks.csv")
+    files.write_csv(orders(spark, sf), path)
+    got = list(files.read_csv_chunks(spark, path, 700))
+    keys = [k for b in got for k in b.column("o_orderkey").to_pylist()]
+    return spark.createDataFrame([(len(got) > 0, max(b.num_rows for b in got) <= 700, len(keys), sum(keys))], "some boolean, bounded boolean, n long, s long")
+
+
+@query("custom_source", "SELECT part, part * 100 + i AS v FROM range(4) p(part), range(100) t(i)")
+def _(spark, sf):
+    import pyarrow as pa
+
+    def read(part: int):
+        for at in (0, 50):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * 50, pa.int64()), "v": pa.array([part * 100 + at + i for i in range(50)], pa.int64())})
+
+    return files.from_source(spark, "part long, v long", 4, read)
+
+
 @query("parquet_options", _ORDERS)
 def _(spark, sf):
     path = shared(spark, "options.parquet")
@@ -242,6 +263,29 @@ def _(spark, sf):
     ])
 
 
+@query("series", facts_sql({
+    "dtype": "'double'", "name": "'price'", "length": "(SELECT count(*) FROM orders)", "sum": "(SELECT round(sum(o_totalprice), 1) FROM orders)", "max": "(SELECT max(o_totalprice) FROM orders)", "null_count": "0", "get": "(SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 1 OFFSET 3)",
+    "added": "(SELECT round(sum(o_totalprice + o_orderkey), 1) FROM orders)", "above": "(SELECT count(*) FROM orders WHERE o_totalprice > 1000)", "applied": "(SELECT sum(o_orderkey * 2 + 1)::BIGINT FROM orders)", "appended": "(SELECT 2 * count(*) FROM orders)", "distinct": "(SELECT count(DISTINCT o_custkey) FROM orders)",
+}))
+def _(spark, sf):
+    o = frame(spark, sf, "orders")
+    price, key = Series.of(o, "o_totalprice").rename("price"), Series.of(o, "o_orderkey")
+    return facts(spark, [
+        ("dtype", price.dtype), ("name", price.name), ("length", len(price)), ("sum", round(price.sum(), 1)), ("max", price.max()), ("null_count", price.null_count()), ("get", key.get(3)), ("added", round((price + key).sum(), 1)),
+        ("above", len(price.filter(price > 1000.0))), ("applied", int(key.apply(lambda v: v * 2 + 1).sum())), ("appended", len(key.append(key))), ("distinct", len(Series.of(o, "o_custkey").unique())),
+    ])
+
+
+@query("series_from_values", "SELECT 0 AS at, 1::BIGINT AS i, TIMESTAMP '1970-01-01 00:00:01' AS t, 'a' AS s UNION ALL SELECT 1, NULL, NULL, 'b' UNION ALL SELECT 2, 3, TIMESTAMP '2001-09-09 01:46:40', NULL")
+def _(spark, sf):
+    import pyarrow as pa
+
+    i = Series.from_values(spark, "i", [1, 2, 3], "i64", [True, False, True])
+    t = Series.from_times(spark, "t", [1, None, 1_000_000_000], "s")
+    s = Series.from_arrow(spark, "s", pa.array(["a", "b"]), pa.array([None], pa.string()))
+    return i.frame.hstack(t.frame, s.frame).with_row_index("at").select(col("at").cast("i32"), "i", "t", "s")
+
+
 @query("expr_head", "SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 6")
 def _(spark, sf): return orders(spark, sf).select(col("o_totalprice").head(6))
 

@@ -12,7 +12,7 @@ import os
 import tempfile
 import urllib.parse
 import urllib.request
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -66,6 +66,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return f.select(*names) if names else f
 
 
+def read_csv_chunks(spark: SparkSession, path: str, rows: int, **options) -> Iterator[pa.RecordBatch]:
+    """A CSV file as Arrow batches of at most ``rows`` rows, in row order, a partition at a time."""
+    return read_csv(spark, path, **options).iter_batches(rows)
+
+
 def inferred(text: DataFrame) -> dict[str, T.DataType]:
     """Narrowest of bigint, double, boolean and string for text columns, in one pass."""
     tries = [("bigint", T.LongType()), ("double", T.DoubleType()), ("boolean", T.BooleanType())]
@@ -327,6 +332,22 @@ def read_url(spark: SparkSession, url: str) -> Frame:
         os.unlink(path)
 
 
+def from_source(spark: SparkSession, schema: T.StructType | str, parts: int, read: Callable[[int], Iterable[pa.RecordBatch]]) -> Frame:
+    """A lazy frame over a source of one's own.
+
+    ``read(part)`` yields the Arrow batches of a part, from 0 to ``parts`` - 1;
+    it runs on the executors, when the frame does, and may run again if one is
+    lost.  Rows lie in the order of parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                yield from read(part)
+
+    return Frame(spark.range(0, parts, 1, parts).mapInArrow(run, schema))
+
+
 def scan(spark: SparkSession, path: str, **options) -> Frame:
     """Lazy read by extension."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
