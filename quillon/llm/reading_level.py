@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +67,8 @@ _DASH = r"(?<=[.!?…])\s+[—–-]\s+"
 _CLOSE = "[\"'”“»’)\\]]*"
 _OPEN = "[\"'„“«‘(¿¡\\[]*"
 _END = (
-    rf"(?<=[\p{{L}}\p{{N}}_)\]]{{3}})[.]+{_CLOSE}\s+(?={_OPEN}[A-ZÀ-ÖØ-ÞА-ЯЁ])(?!{_OPEN}[\p{{L}}\p{{N}}_]{{1,3}}\.)|[!?…]+{_CLOSE}\s+"
-    "|[.]+[\"'”“»’)\\]]+\\s+(?=[\"'„“«‘(¿¡])"
+    rf"(?=[.!?…])(?:(?<=[\p{{L}}\p{{N}}_)\]]{{3}})[.]+{_CLOSE}\s+(?={_OPEN}[A-ZÀ-ÖØ-ÞА-ЯЁ])(?!{_OPEN}[\p{{L}}\p{{N}}_]{{1,3}}\.)|[!?…]+{_CLOSE}\s+"
+    "|[.]+[\"'”“»’)\\]]+\\s+(?=[\"'„“«‘(¿¡]))"
 )
 
 
@@ -74,9 +76,14 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
+def _replaced(text: Column, pattern: str, to: str, *needs: str) -> Column:
+    """``regexp_replace``, left out for texts without any of the characters that a match needs."""
+    return F.when(reduce(or_, [F.contains(text, F.lit(c)) for c in needs]), F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
 def plain_text(text: Column) -> Column:
     """The text without markup."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _TAG, " ")
+    return _replaced(F.coalesce(text, F.lit("")), _TAG, " ", "<", "&")
 
 
 def base_code(lang: Column) -> Column:
@@ -90,32 +97,32 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def with_features(docs: DataFrame, text: str) -> DataFrame:
     """Add ``x``, the features but for the last, and ``w``, the distinct words in lower case; all 0 for a text without words."""
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__p"), _BREAK, f" {_MARK} "), _DASH, f" {_MARK} "), r"\n", " ")
-    d = docs.withColumn("__p", plain_text(F.col(quoted(text)))).withColumn("__s", F.split(F.regexp_replace(marked, _END, _MARK), _MARK)).withColumn("__w", _words(F.col("__p")))
-    parts = F.transform("__s", lambda s: F.struct(F.size(_words(s)).alias("n"), (F.length(s) - F.length(F.translate(s, ",;:", ""))).alias("c")))
-    d = d.withColumn("__s", F.filter(parts, lambda s: s["n"] > 0)).withColumn("__l", F.array_sort(F.transform("__w", F.length))).withColumn("__low", F.transform("__w", F.lower))
-    d = d.withColumn("w", F.array_distinct("__low")).withColumn("__n", F.array_sort(F.transform("__s", lambda s: s["n"])))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b).cast("double")
+    d = docs.withColumn("__p", plain_text(F.col(quoted(text)))).withColumn("__p", _replaced(F.col("__p"), _BREAK, f" {_MARK} ", "\n")).withColumn("__p", _replaced(F.col("__p"), _DASH, f" {_MARK} ", "-", "–", "—"))
+    d = d.withColumn("__s", F.split(F.regexp_replace(F.translate("__p", "\n", " "), _END, _MARK), _MARK))
+    # words are cut out once, sentence by sentence
+    parts = F.transform("__s", lambda s: F.struct(_words(F.lower(s)).alias("w"), (F.length(s) - F.length(F.translate(s, ",;:", ""))).alias("c")))
+    d = d.withColumn("__s", F.filter(parts, lambda s: F.size(s["w"]) > 0)).withColumn("__w", F.flatten(F.transform("__s", lambda s: s["w"])))
+    d = d.withColumn("w", F.array_distinct("__w")).withColumn("__l", F.array_sort(F.transform("__w", F.length))).withColumn("__n", F.array_sort(F.transform("__s", lambda s: F.size(s["w"]))))
     sentences, words = F.size("__n").cast("double"), F.size("__w").cast("double")
-    clauses = total(F.transform("__s", lambda s: s["c"]))
-    counted = total("__n")
+    clauses = F.aggregate("__s", F.lit(0), lambda a, s: a + s["c"]).cast("double")
+    letters = F.length(F.concat_ws("", "__w")).cast("double")
     long_ = F.size(F.filter("__l", lambda v: v >= 10)).cast("double")
-    subordinate = F.size(F.filter("__low", lambda v: v.isin(SUBORDINATORS))).cast("double")
+    subordinate = F.size(F.filter("__w", lambda v: v.isin(SUBORDINATORS))).cast("double")
     at = lambda c, i: F.coalesce(F.get(c, i.cast("int")).cast("double"), F.lit(0.0))
     x = [
-        F.log1p(_ratio(counted, sentences)),
+        F.log1p(_ratio(words, sentences)),
         F.log1p(at("__n", F.least(sentences - 1, F.floor(sentences * 0.9)))),
         _ratio(clauses, sentences),
-        _ratio(total("__l"), words),
+        _ratio(letters, words),
         _ratio(long_, words),
         _ratio(F.size(F.filter("__l", lambda v: v >= 13)).cast("double"), words),
         at("__l", F.floor((words - 1) * 0.9)),
         F.log1p(_ratio(long_, sentences)),
         _ratio(F.size("w").cast("double"), F.sqrt(words)),
-        F.log1p(_ratio(counted, clauses + sentences)),
+        F.log1p(_ratio(words, clauses + sentences)),
         _ratio(subordinate, sentences),
     ]
-    return d.withColumn("x", F.array(*x)).drop("__p", "__s", "__w", "__l", "__low", "__n")
+    return d.withColumn("x", F.array(*x)).drop("__p", "__s", "__w", "__l", "__n")
 
 
 @dataclass

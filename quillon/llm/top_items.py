@@ -16,24 +16,21 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import HOT_SHARE
+from quillon.runtime import PIECE_ROWS, durable, key_pieces
 
 #: Score quantiles that bound the ranges of a heavy group, and salts in each range.
 RANGES = (0.25, 0.5, 0.75, 0.9, 0.97, 0.99)
 SALTS = 8
 
 
-def heavy_groups(rows: DataFrame, share: float) -> list:
-    """Groups with at least ``share`` of the rows (exact counts, at most 1/share of them) with range bounds of their scores."""
-    counts = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    names = [r[0] for r in counts.filter(F.col("n") >= counts.agg(F.sum("n")).scalar() * share).select("grp").collect()]
-    if not names:
-        return []
-    bounds = F.percentile_approx("score", list(RANGES), 1000).alias("bounds")
-    return rows.filter(F.col("grp").isin(names)).groupBy("grp").agg(bounds).collect()
+def heavy_groups(rows: DataFrame, piece_rows: int) -> DataFrame:
+    """``(grp, bounds)``: groups with more than ``piece_rows`` rows by exact
+    counts, and range bounds of their scores.  As bounded as ``key_pieces``."""
+    heavy = rows.join(F.broadcast(key_pieces(rows, ["grp"], piece_rows)), "grp")
+    return durable(heavy.groupBy("grp").agg(F.percentile_approx("score", list(RANGES), 1000).alias("bounds")))
 
 
-def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int, share: float = HOT_SHARE) -> DataFrame:
+def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The up to ``n`` items of each group with the highest scores.
 
     Result: ``(grp, rank, item_id, score)``, rank from 1.  Among equal scores
@@ -52,16 +49,12 @@ def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int, sh
         ranked = d.withColumn("rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
         return ranked.groupBy(*by, "rank").agg(F.min("item_id").alias("item_id"), F.min("score").alias("score"))
 
-    heavy = heavy_groups(rows, share)
-    if not heavy:
-        return best(rows, "grp").select("grp", "rank", "item_id", "score")
-    spark = df.sparkSession
-    names = [r["grp"] for r in heavy]
-    light = best(rows.filter(~F.col("grp").isin(names)), "grp")
-    # one row per heavy group: bounded by 1 / share
-    schema = f"grp {dict(rows.dtypes)['grp']}, bounds array<{dict(rows.dtypes)['score']}>"
-    bounds = F.broadcast(spark.createDataFrame([(r["grp"], r["bounds"]) for r in heavy], schema))
+    # one pass over the rows serves both: those of heavy groups get a range and a
+    # salt, those of light ones are cut by their group alone
+    tagged = rows.join(F.broadcast(heavy_groups(rows, piece_rows)), "grp", "left")
     in_range = reduce(add, [(F.col("score") >= F.col("bounds")[i]).cast("int") for i in range(len(RANGES))])
-    salted = rows.join(bounds, "grp").select("grp", "score", "item_id", in_range.alias("range"), F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).alias("salt"))
-    cut = best(salted, "grp", "range", "salt").select("grp", "score", "item_id")
-    return light.unionByName(best(cut, "grp")).select("grp", "rank", "item_id", "score")
+    heavy = F.col("bounds").isNotNull()
+    tagged = tagged.select("grp", "score", "item_id", F.when(heavy, in_range).otherwise(F.lit(0)).alias("range"), F.when(heavy, F.pmod(F.xxhash64("item_id"), F.lit(SALTS))).otherwise(F.lit(0)).alias("salt"))
+    cut = best(tagged, "grp", "range", "salt").select("grp", "score", "item_id")
+    # at most N items of a light group and of each salted range are ranked once more
+    return best(cut, "grp").select("grp", "rank", "item_id", "score")

@@ -8,10 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A group holding at least this share of all rows is "hot" and gets split.
-HOT_SHARE = 1 / 64
-#: Pieces into which a hot group is split.
-HOT_PIECES = 32
 #: Rows of one key for one task; a key with more is cut into pieces of that size.
 PIECE_ROWS = 1 << 18
 #: Most keys that can be large enough to be cut.
@@ -56,17 +52,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Values of ``key`` that hold at least ``share`` of the rows.
-
-    Exact counts; the driver receives at most ``1 / share`` values.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    hot = counts.filter(F.col("__n") >= total * share)
-    return [r[0] for r in hot.select(key).collect()]
-
-
 def key_pieces(rows: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Keys with more rows than one piece holds: ``(keys..., __pieces)``.
 
@@ -87,11 +72,3 @@ def with_pieces(rows: DataFrame, keys: list[str], ident: str, piece_rows: int =
     """
     cut = rows.join(F.broadcast(key_pieces(rows, keys, piece_rows)), keys, "left")
     return cut.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(ident), F.col("__pieces")).cast("int"), F.lit(0))).drop("__pieces")
-
-
-def piece_of(key: str, hot: list, ident: str, pieces: int = HOT_PIECES) -> Column:
-    """Piece number: spread by ``ident`` for hot values of ``key``, else 0."""
-    if not hot:
-        return F.lit(0)
-    spread = F.pmod(F.xxhash64(F.col(ident)), F.lit(pieces)).cast("int")
-    return F.when(F.col(key).isin(hot), spread).otherwise(F.lit(0))

@@ -26,8 +26,8 @@ def test_hot_and_cold_groups_agree_with_brute_force(spark):
     rows = [(rng.choice(["hot"] * 6 + ["warm"] * 3 + [f"t{k}" for k in range(60)]), rng.choice([5, 5, 5, 5, 9, 1, None, -2]), rng.randrange(700)) for _ in range(4000)]
     rows += rows[:500] + [(None, 99, 1), ("hot", None, 2), ("none", None, 3), ("hot", 99, None)]
     want = brute(rows)
-    for share in (0.01, 0.2, 2.0):
-        assert best(spark, rows, share=share) == want
+    for piece_rows in (50, 1000, 10**6):
+        assert best(spark, rows, piece_rows=piece_rows) == want
     assert best(spark, rows, 40) == brute(rows, 40)
 
 
