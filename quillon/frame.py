@@ -184,7 +184,9 @@ class Frame:
         parts = [x for e in es for x in walk(e) if x.op in AGGREGATES]
         if all(x.op not in ("entropy", "median", "quantile") and not contains(x.args[0], AGGREGATES | ORDERED | {"over"}) for x in parts):
             names = {id(x): f"__a{i}" for i, x in enumerate(parts)}
-            one = Frame(r.df.agg(*[r.aggregate_column(x).alias(names[id(x)]) for x in parts]))
+            # aggregates first: they may add columns
+            cols = [r.aggregate_column(x).alias(names[id(x)]) for x in parts]
+            one = Frame(r.df.agg(*cols))
 
             def swap(e: Expr) -> Expr:
                 return col(names[id(e)]) if id(e) in names else Expr(e.op, tuple(swap(a) for a in e.args), e.params)

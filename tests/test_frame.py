@@ -74,6 +74,19 @@ def test_aggregates_of_nothing(f):
     assert got == {"sum": 0, "mean": None, "count": 0, "any": False, "all": True, "product": 1.0, "arg_min": -1}
 
 
+def test_aggregates_that_need_the_row_order(spark, f):
+    one = lambda f, *ops: rows(f.select(*[getattr(col("x"), o)().alias(o) for o in ops]))
+    every = ("first", "arg_min", "count", "arg_max", "last")
+    assert one(f, *every) == [(1, 2, 4, 4, 5)]
+    assert one(f, "first", "last") == [(1, 5)] and one(f, "arg_max") == [(4,)]
+    assert one(f.sort("x", True), *every) == [(5, 3, 4, 0, None)] and one(f.reverse(), *every) == [(5, 2, 4, 0, 1)]
+    ties = Frame.from_map(spark, {"x": [None, NAN, 2.0, 1.0, 2.0, 1.0]})  # the first of equals; null and NaN are no extremes
+    assert one(ties, "arg_min", "arg_max") == [(3, 2)] and one(ties.reverse(), "arg_min", "arg_max") == [(0, 1)]
+    nulls = Frame.from_map(spark, {"x": [1, None]}).filter(col("x").is_null())
+    assert one(nulls, "arg_min", "arg_max") == [(-1, -1)]
+    assert rows(f.select((col("x").arg_max() - col("x").arg_min()).alias("d"))) == [(2,)]
+
+
 def test_group_by(f):
     out = f.group_by("k").agg(col("x").sum().alias("s"), col("x").first().alias("f"), col("x").last().alias("l"), col("x").null_count().alias("n"))
     assert rows(out) == [("a", -2, 1, -3, 0), (None, 5, None, 5, 1), ("b", 4, 4, 4, 0)]  # first seen first
