@@ -6,6 +6,7 @@ frame and on an unbounded stream; row-local stages keep no state.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,10 +96,29 @@ class Pipeline:
         return self.frame().writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
     def collect(self, name: str, mode: str = "append") -> DataFrame:
-        """Run over what is there and keep the result in memory, as a table."""
-        q = self.frame().writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        """Run over what is there and keep the result in the shared folder, as a table."""
+        spark, df = self.source.sparkSession, self.frame()
+        folder = f"{state_folder(spark, name)}-{uuid.uuid4().hex}"
+        rows, progress = f"{folder}/rows", f"{folder}/progress"
+        # Parquet has no type for columns of nulls alone
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        kept = df.select(*[F.col(quoted(n)).cast("string").alias(n) if isinstance(k, T.NullType) else F.col(quoted(n)) for n, k in kinds.items()])
+        writer = kept.writeStream.queryName(name).option("checkpointLocation", progress).outputMode(mode).trigger(availableNow=True)
+        if mode == "append":
+            q = writer.format("parquet").option("path", rows).start()
+        else:
+            # a complete result replaces the one before; a batch that is run again replaces its own
+            q = writer.foreachBatch(lambda part, batch: part.write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else batch}")).start()
         q.awaitTermination()
-        return self.source.sparkSession.table(name)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(progress), True)
+        reader = spark.read.schema(kept.schema)
+        if mode != "append":
+            reader = reader.option("recursiveFileLookup", True)
+        got = reader.parquet(rows) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(rows)) else spark.createDataFrame([], kept.schema)
+        got.select(*[F.lit(None).alias(n) if isinstance(k, T.NullType) else F.col(quoted(n)) for n, k in kinds.items()]).createOrReplaceTempView(name)
+        return spark.table(name)
 
     def slice(self, sink: str, checkpoint: str, offset: int, length: int) -> StreamingQuery:
         """Rows [offset, offset + length) across batches, as Parquet.

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import col
+from quillon import col, lit
 from quillon.streaming.batches import Pipeline, drop_stage, file_stream, filter_stage, map_stage, project_stage, rename_stage, session_stage, window_stage, with_columns_stage
 
 
@@ -31,3 +31,13 @@ def test_parquet_sink_and_slice(spark, stream, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 34
     Pipeline(stream).slice(str(tmp_path / "cut"), str(tmp_path / "cp2"), 30, 25).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "cut")).count() == 25
+
+
+def test_collected_rows_stay_out_of_the_driver(spark, stream):
+    rows = Pipeline(stream, with_columns_stage(lit(None).alias("none"))).collect("landed")
+    assert "MemoryPlan" not in rows._jdf.queryExecution().optimizedPlan().toString() and len(rows.inputFiles()) >= 5
+    assert rows.count() == 100 and dict(rows.dtypes)["none"] == "void"
+    per_key = window_stage("ts", "1 hour", ["k"], {"n": F.count(F.lit(1))})
+    got = Pipeline(stream, per_key).collect("landed_complete", "complete")
+    assert "MemoryPlan" not in got._jdf.queryExecution().optimizedPlan().toString() and got.agg(F.sum("n")).first()[0] == 100
+    assert Pipeline(stream, filter_stage(col("id") < 0)).collect("landed").count() == 0
