@@ -41,3 +41,10 @@ def test_collected_rows_stay_out_of_the_driver(spark, stream):
     got = Pipeline(stream, per_key).collect("landed_complete", "complete")
     assert "MemoryPlan" not in got._jdf.queryExecution().optimizedPlan().toString() and got.agg(F.sum("n")).first()[0] == 100
     assert Pipeline(stream, filter_stage(col("id") < 0)).collect("landed").count() == 0
+
+
+def test_host_functions_in_collected_stages(spark, stream):
+    p = Pipeline(stream, filter_stage(col("id") > 10), map_stage(lambda b: b, "id long, k long, ts timestamp_ntz"), rename_stage("k", "key"))
+    rows = p.collect("mapped")
+    assert "MemoryPlan" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in rows.collect()) == list(range(11, 100)) and rows.columns == ["id", "key", "ts"]
