@@ -48,3 +48,11 @@ def test_host_functions_in_collected_stages(spark, stream):
     rows = p.collect("mapped")
     assert "MemoryPlan" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in rows.collect()) == list(range(11, 100)) and rows.columns == ["id", "key", "ts"]
+
+
+def test_streamed_sessions_equal_the_bounded_result(spark, stream, tmp_path):
+    stage = session_stage("ts", "2 minutes", ["k"], {"n": F.count(F.lit(1))}, late="1 day")
+    rows = Pipeline(stream, stage).collect("sessions", "complete")
+    assert "MemoryPlan" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    # a key has a row every three minutes
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, stage(spark.read.parquet(str(tmp_path / "in"))).collect())) and rows.count() == 100
