@@ -145,3 +145,26 @@ def test_tools_and_typed_columns(spark, people, sf):
     assert rows(people.filter(Int("age") > 15).select((Int("age") + 1).alias("x"), Str("name").str.upper().alias("u"))) == [(21, "B"), (31, "C")]
     with pytest.raises(TypeError):
         people.select(Float("age"))
+
+
+def test_pages_follow_on_without_reading_again(spark, tmp_path):
+    from quillon import tools
+
+    path = str(tmp_path / "p.parquet")
+    rows = 3 * tools.PAGE_ROWS + 5
+    spark.range(0, rows, 1, 1).write.parquet(path)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("pages"))
+    got, at = tools.call(spark, "rows", path=path, offset=10), 0
+    seen = [r["id"] for r in got["rows"]]
+    spark.sparkContext.setJobGroup("pages", "following pages")
+    while got["next"] is not None:
+        assert got["next"] == 10 + len(seen)
+        got = tools.call(spark, "rows", path=path, offset=got["next"])
+        seen += [r["id"] for r in got["rows"]]
+    assert seen == list(range(10, rows)) and jobs() == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # a page far from any other, and one over files that have changed
+    assert tools.call(spark, "rows", path=path, offset=rows - 2)["rows"] == [{"id": rows - 2}, {"id": rows - 1}]
+    first = tools.call(spark, "rows", path=path)
+    spark.range(5, 5 + rows, 1, 1).write.mode("overwrite").parquet(path)
+    assert tools.call(spark, "rows", path=path, offset=first["next"])["rows"][0]["id"] == 5 + tools.PAGE_ROWS
