@@ -7,12 +7,16 @@ executors.  A URL is fetched once by the driver and then read as a file.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import struct
 import tempfile
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 import pyarrow as pa
@@ -161,10 +165,151 @@ def ipc_schema(path: str) -> pa.Schema:
             return reader.schema
 
 
+#: Bytes of record batches for one task.
+PART_BYTES = 16 << 20
+
+
+@dataclass(frozen=True)
+class Piece:
+    """A record batch where it lies: the ``at``-th of an IPC file, or the message from byte ``at`` on of a stream.
+
+    ``head``: first and last bytes of the stream's schema and of the
+    dictionaries that hold for the batch; None for a file.  ``rows`` is None
+    where only reading the batch tells.
+    """
+
+    path: str
+    at: int
+    size: int
+    rows: int | None
+    head: tuple[tuple[int, int], ...] | None
+
+
+def _field(meta: bytes, table: int, slot: int) -> int | None:
+    """Place of a field of a flatbuffer table, or None if it has its default."""
+    vtable = table - struct.unpack_from("<i", meta, table)[0]
+    at = 4 + 2 * slot
+    offset = struct.unpack_from("<H", meta, vtable + at)[0] if at < struct.unpack_from("<H", meta, vtable)[0] else 0
+    return table + offset if offset else None
+
+
+def _value(meta: bytes, table: int, slot: int, form: str) -> int:
+    at = _field(meta, table, slot)
+    return 0 if at is None else struct.unpack_from(form, meta, at)[0]
+
+
+_SCHEMA, _DICTIONARY, _BATCH = 1, 2, 3
+
+
+def pieces(path: str) -> Iterator[Piece]:
+    """The record batches of an IPC file or stream; of a stream only the messages' metadata is read."""
+    with open(path, "rb") as f:
+        if f.read(6) == b"ARROW1":
+            with pa.memory_map(path) as m, pa.ipc.open_file(m) as reader:
+                n = reader.num_record_batches
+            yield from (Piece(path, i, os.path.getsize(path) // n, None, None) for i in range(n))
+            return
+        f.seek(0)
+        schema: tuple[int, int] = (0, 0)
+        dictionaries: dict[int, list[tuple[int, int]]] = {}
+        head: tuple[tuple[int, int], ...] = ()
+        total = os.path.getsize(path)
+        while len(word := f.read(4)) == 4:
+            start, (n,) = f.tell() - 4, struct.unpack("<I", word)
+            if n == 0xFFFFFFFF:  # streams before Arrow 0.15 have no such mark
+                n = int.from_bytes(f.read(4), "little")
+            if not n:
+                return
+            meta = f.read(n)
+            if len(meta) < n:
+                raise pa.ArrowInvalid(f"{path} ends within a message")
+            root = struct.unpack_from("<I", meta)[0]
+            kind, end = _value(meta, root, 1, "<B"), f.tell() + _value(meta, root, 3, "<q")
+            if end > total:
+                raise pa.ArrowInvalid(f"{path} ends within a message")
+            f.seek(end)
+            header = _field(meta, root, 2)
+            header += struct.unpack_from("<I", meta, header)[0]
+            if kind == _BATCH:
+                yield Piece(path, start, end - start, _value(meta, header, 0, "<q"), head)
+                continue
+            if kind == _SCHEMA:
+                schema = (start, end)
+            elif kind == _DICTIONARY:
+                ident, delta = _value(meta, header, 0, "<q"), _value(meta, header, 2, "<B")
+                before = dictionaries.pop(ident, []) if not delta else dictionaries.setdefault(ident, [])
+                dictionaries[ident] = [*before, (start, end)] if delta else [(start, end)]
+            head = (schema, *(x for d in dictionaries.values() for x in d))
+
+
+def _tasks(found: Iterable[Piece]) -> list[list[Piece]]:
+    """Pieces in order for one task each."""
+    out: list[list[Piece]] = [[]]
+    size = 0
+    for p in found:
+        if out[-1] and size + p.size > PART_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += p.size
+    return out
+
+
+def _piece_batches(found: Iterable[Piece], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of pieces as ``schema`` says, one in memory at a time."""
+    for (path, of_file), run in itertools.groupby(found, lambda p: (p.path, p.head is None)):
+        if of_file:
+            with pa.memory_map(path) as m, pa.ipc.open_file(m) as reader:
+                for p in run:
+                    yield _as(reader.get_batch(p.at), schema)
+            continue
+        with open(path, "rb") as f:
+            part = lambda a, b: f.seek(a) >= 0 and f.read(b - a)  # noqa: E731, B023
+            for p in run:
+                with pa.ipc.open_stream(b"".join([*(part(*x) for x in p.head), part(p.at, p.at + p.size)])) as reader:
+                    yield from (_as(b, schema) for b in reader)
+
+
+def _as(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema)
+
+
+class Landed(Frame):
+    """A frame of record batches on shared storage.
+
+    It holds where they lie, not their rows; the plan is made when it is asked
+    for, one scan for any number of batches, so thousands can be put together.
+    """
+
+    pieces: tuple[Piece, ...] = ()
+
+    @classmethod
+    def of_pieces(cls, spark: SparkSession, kind: T.StructType, found: Iterable[Piece]) -> Landed:
+        f = cls.__new__(cls)
+        f.spark, f.kind, f.pieces, f.order, f.dense = spark, kind, tuple(found), None, False
+        return f
+
+    @cached_property
+    def df(self) -> DataFrame:
+        tasks, target = _tasks(self.pieces), to_arrow_schema(self.kind)
+        return from_source(self.spark, self.kind, len(tasks), lambda part: _piece_batches(tasks[part], target)).df
+
+    def height(self) -> int:
+        known = [p.rows for p in self.pieces]
+        return sum(known) if known and None not in known else super().height()
+
+    def vstack(self, *others: Frame) -> Frame:
+        if self.pieces and all(isinstance(o, Landed) and o.pieces and o.kind == self.kind for o in others):
+            return Landed.of_pieces(self.spark, self.kind, (p for f in (self, *others) for p in f.pieces))
+        return super().vstack(*others)
+
+    extend = vstack
+
+
 class _IpcPart(InputPartition):
-    def __init__(self, path: str, index: int):
+    def __init__(self, found: list[Piece], index: int):
         super().__init__(index)
-        self.path = path
+        self.pieces = found
 
 
 class _IpcReader(DataSourceReader):
@@ -172,11 +317,10 @@ class _IpcReader(DataSourceReader):
         self.path, self.target = path, to_arrow_schema(schema)
 
     def partitions(self) -> list[InputPartition]:
-        return [_IpcPart(p, i) for i, p in enumerate(_files(self.path))]
+        return [_IpcPart(t, i) for i, t in enumerate(_tasks(x for p in _files(self.path) for x in pieces(p)))]
 
     def read(self, partition: _IpcPart) -> Iterator[pa.RecordBatch]:
-        for b in _batches(partition.path):
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, self.target, strict=True)], schema=self.target)
+        yield from _piece_batches(partition.pieces, self.target)
 
 
 class IpcSource(DataSource):
@@ -240,9 +384,10 @@ def _write(f: Frame, path: str, new) -> None:
 
 
 def read_ipc_stream(spark: SparkSession, path: str) -> Iterator[Frame]:
-    """A frame per batch of an IPC stream."""
-    for b in _batches(path):
-        yield Frame.from_arrow(spark, pa.Table.from_batches([b]))
+    """A frame per batch of an IPC stream on shared storage; the rows stay there."""
+    kind = from_arrow_schema(ipc_schema(path), prefer_timestamp_ntz=True)
+    for p in pieces(path):
+        yield Landed.of_pieces(spark, kind, [p])
 
 
 # --- databases and URLs

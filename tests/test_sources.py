@@ -5,7 +5,7 @@ import sqlite3
 import pyarrow as pa
 import pytest
 
-from quillon import Frame
+from quillon import Frame, concat
 from quillon.sources import files
 
 
@@ -76,3 +76,36 @@ def test_url_of_a_file(spark, tmp_path):
     assert [tuple(r) for r in files.read_url(spark, (tmp_path / "u.csv").as_uri()).collect()] == [(1, "x")]
     with pytest.raises(ValueError):
         files.scan(spark, "x.unknown")
+
+
+def test_frames_of_a_stream_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "many.arrow")
+    kind = pa.schema([("n", pa.int64()), ("d", pa.dictionary(pa.int32(), pa.string())), ("t", pa.timestamp("us"))])
+    with pa.OSFile(path, "wb") as out, pa.ipc.new_stream(out, kind, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)) as w:
+        for k in range(300):
+            # dictionaries grow, and are replaced
+            words = [f"w{i}" for i in range(k % 50 + 1)]
+            w.write_batch(pa.record_batch([pa.array([2 * k, None]), pa.DictionaryArray.from_arrays(pa.array([0, k % 50], pa.int32()), words), pa.array([dt.datetime(2026, 1, 1), None])], schema=kind))
+        w.write_batch(pa.record_batch([pa.array([], pa.int64()), pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), ["w0"]), pa.array([], pa.timestamp("us"))], schema=kind))
+    frames = list(files.read_ipc_stream(spark, path))
+    assert len(frames) == 301 and [g.height() for g in frames[-2:]] == [2, 0]
+    assert [tuple(r) for r in frames[7].collect()] == [(14, "w0", dt.datetime(2026, 1, 1)), (None, "w7", None)]
+    whole = concat(*frames)
+    assert whole.df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [(v, w, t) for k in range(300) for v, w, t in ((2 * k, "w0", dt.datetime(2026, 1, 1)), (None, f"w{k % 50}", None))]
+    assert [tuple(r) for r in whole.collect()] == want and [tuple(r) for r in files.read_ipc(spark, path).collect()] == want
+    with open(path, "rb") as f, open(tmp_path / "cut.arrow", "wb") as out:
+        out.write(f.read()[:-500])
+    with pytest.raises(pa.ArrowInvalid):
+        list(files.read_ipc_stream(spark, str(tmp_path / "cut.arrow")))
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 100)
+    for kind, new in (("s", pa.ipc.new_stream), ("f", pa.ipc.new_file)):
+        path = str(tmp_path / f"{kind}.arrow")
+        with pa.OSFile(path, "wb") as out, new(out, pa.schema([("n", pa.int64())])) as w:
+            for k in range(5):
+                w.write_batch(pa.record_batch({"n": [k]}))
+        assert len(files._tasks(files.pieces(path))) == 5
+        assert [r[0] for g in files.read_ipc_stream(spark, path) for r in g.collect()] == list(range(5))
