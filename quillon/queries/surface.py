@@ -164,9 +164,10 @@ def _(spark, sf):
 def _(spark, sf):
     import sqlite3
 
-    db = sqlite3.connect(":memory:")
+    db = sqlite3.connect("")  # a temporary file, as large as the table
     db.execute("CREATE TABLE o (k INTEGER, p REAL)")
-    db.executemany("INSERT INTO o VALUES (?, ?)", [tuple(r) for r in orders(spark, sf).select("o_orderkey", "o_totalprice").collect()])
+    rows = orders(spark, sf).select("o_orderkey", "o_totalprice").iter_batches()
+    db.executemany("INSERT INTO o VALUES (?, ?)", (r for b in rows for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
     parts = list(files.read_cursor(spark, db.execute("SELECT k AS o_orderkey, p AS o_totalprice FROM o WHERE p > 1000"), "o_orderkey long, o_totalprice double", 4096))
     if any(p.height() > 4096 for p in parts):
         raise AssertionError("a batch is too large")

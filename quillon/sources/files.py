@@ -14,6 +14,7 @@ import struct
 import tempfile
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.conversion import LocalDataToArrowConversion
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from quillon.frame import Frame
-from quillon.runtime import quoted
+from quillon.runtime import ensure_checkpoint_dir, quoted
 
 
 def in_file_order(df: DataFrame, position: Column) -> Frame:
@@ -425,9 +427,32 @@ def database_types(df: DataFrame) -> DataFrame:
 
 
 def read_cursor(spark: SparkSession, cursor, schema: T.StructType | str, batch_rows: int = 8192) -> Iterator[Frame]:
-    """Frames of at most ``batch_rows`` rows of an open DB-API cursor."""
-    while rows := cursor.fetchmany(batch_rows):
-        yield Frame(spark.createDataFrame([tuple(r) for r in rows], schema).coalesce(1))
+    """Frames of at most ``batch_rows`` rows of an open DB-API cursor.
+
+    The driver holds one batch: each is written to an IPC stream in the shared
+    folder, of which the frames are parts.  A shared folder that isn't mounted
+    as a path leaves the rows at the driver.
+    """
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    folder = ensure_checkpoint_dir(spark)
+    if urllib.parse.urlparse(folder).scheme not in ("", "file"):
+        while rows := cursor.fetchmany(batch_rows):
+            yield Frame(spark.createDataFrame([tuple(r) for r in rows], kind).coalesce(1))
+        return
+    path = f"{urllib.parse.urlparse(folder).path.rstrip('/')}/cursors/{uuid.uuid4().hex}.arrow"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    target, check = to_arrow_schema(kind), T._make_type_verifier(kind)
+    with open(path, "wb") as out:
+        head = ((0, out.write(target.serialize())),)
+        while rows := [tuple(r) for r in cursor.fetchmany(batch_rows)]:
+            for r in rows:
+                check(r)
+            for b in LocalDataToArrowConversion.convert(rows, kind, False).cast(target).combine_chunks().to_batches():
+                start = out.tell()
+                size = out.write(b.serialize())
+                out.flush()
+                yield Landed.of_pieces(spark, kind, [Piece(path, start, size, b.num_rows, head)])
+        out.write(b"\xff\xff\xff\xff\0\0\0\0")  # the end of an IPC stream
 
 
 def write_jdbc(f: Frame, url: str, table: str, mode: str = "append", **options: str) -> None:

@@ -109,3 +109,30 @@ def test_a_large_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
                 w.write_batch(pa.record_batch({"n": [k]}))
         assert len(files._tasks(files.pieces(path))) == 5
         assert [r[0] for g in files.read_ipc_stream(spark, path) for r in g.collect()] == list(range(5))
+
+
+def test_cursor_rows_are_parts_of_one_file(spark):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE n (n INTEGER, x REAL, s TEXT)")
+    db.executemany("INSERT INTO n VALUES (?, ?, ?)", [(i, i / 2, None if i % 7 else f"é{i}") for i in range(5000)])
+    parts = list(files.read_cursor(spark, db.execute("SELECT * FROM n ORDER BY n"), "n long, x double, s string", 10))
+    assert len(parts) == 500 and {p.height() for p in parts} == {10}
+    whole = concat(*parts)
+    assert whole.df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in whole.collect()] == [(i, i / 2, None if i % 7 else f"é{i}") for i in range(5000)]
+    # a batch can be used while the cursor is read
+    seen = [tuple(p.collect()[0]) for p in files.read_cursor(spark, db.execute("SELECT n FROM n WHERE n < 3 ORDER BY n"), "n long", 1)]
+    assert seen == [(0,), (1,), (2,)]
+    when = dt.datetime(2026, 1, 2, 3, 4, 5, 6)
+
+    class Cursor:
+        left = [[(when, when, [1, None], (1, "x"), {"a": 1.5}, dt.date(2026, 1, 2), b"\x00")]]
+
+        def fetchmany(self, n):
+            return self.left.pop() if self.left else []
+
+    kind = "t timestamp, u timestamp_ntz, l array<long>, r struct<a: long, b: string>, m map<string, double>, d date, b binary"
+    want = spark.createDataFrame(Cursor.left[0], kind).collect()
+    assert next(files.read_cursor(spark, Cursor(), kind)).collect() == want
+    with pytest.raises(TypeError):
+        next(files.read_cursor(spark, db.execute("SELECT s FROM n"), "s long"))
